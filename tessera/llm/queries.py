@@ -7,12 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, packing, sentencepiece_codec, token_output, topk, toxicity, warc
+from . import licenses, packing, sentencepiece_codec, substring_dedup, token_output, topk, toxicity, warc
 from .common import table
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), ids=False)
 
@@ -45,7 +50,20 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((n[{k // 4 + 1}] >> {15 - 5 * (k % 4)}) & 31), 1)" for k in range(32))
 _NUMBERS = ", ".join("(" + " + ".join(f"(instr('0123456789abcdef', substr(h, {5 * j + i + 1}, 1)) - 1) * {16 ** (4 - i)}" for i in range(5)) + ")" for j in range(8))
 
+_WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
 SQL = {
+    "op1_substring_dedup": f"""
+with d as (select doc_id, {_WORDS.format("coalesce(text, '')")} as w from documents where doc_id is not null),
+s as (select doc_id, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35),
+g as (select s.doc_id, s.i, hash(array_to_string(d.w[s.i:s.i + 34], ' ')) as h from s join d using (doc_id)),
+r as (select doc_id, i from (select *, count(*) over (partition by h) as c from g) where c > 1),
+x as (select distinct doc_id, unnest(range(i, i + 35)) as p from r),
+g2 as (select doc_id, list(p) as gone from x group by 1),
+k as (select d.doc_id, d.w, coalesce(g2.gone, []) as gone from d left join g2 using (doc_id)),
+m as (select doc_id, w, gone, list_filter(range(1, len(w) + 1), lambda p: not list_contains(gone, p)) as stay from k)
+select doc_id, len(w)::bigint as n_words, len(gone)::bigint as n_removed,
+  sha256(array_to_string(list_transform(stay, lambda p: w[p]), ' ')) as kept_sha256 from m""",
     "op7_license_scan": licenses.scan_sql(),
     "op9_warc": f"""
 with p as (select page_id, coalesce(html, '') as html from pages where page_id is not null),
