@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, packing, sentencepiece_codec, substring_dedup, token_output, topk, toxicity, warc
+from . import jaccard_join, licenses, packing, sentencepiece_codec, substring_dedup, token_output, topk, toxicity, warc
 from .common import table
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -18,6 +18,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), ids=False)
 
@@ -64,6 +68,17 @@ k as (select d.doc_id, d.w, coalesce(g2.gone, []) as gone from d left join g2 us
 m as (select doc_id, w, gone, list_filter(range(1, len(w) + 1), lambda p: not list_contains(gone, p)) as stay from k)
 select doc_id, len(w)::bigint as n_words, len(gone)::bigint as n_removed,
   sha256(array_to_string(list_transform(stay, lambda p: w[p]), ' ')) as kept_sha256 from m""",
+    "op2_jaccard_join": f"""
+with recursive d as (select doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents where doc_id is not null),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g from d),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 75 * (x.n + y.n - i)),
+e as (select a, b from l union select b, a from l),
+r as (select a as doc_id, a as other from (select distinct a from e) union select r.doc_id, e.b from r join e on e.a = r.other)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(c.component_id, d.doc_id) as component_id
+from d left join n using (doc_id) left join (select doc_id, min(other) as component_id from r group by 1) c using (doc_id)""",
     "op7_license_scan": licenses.scan_sql(),
     "op9_warc": f"""
 with p as (select page_id, coalesce(html, '') as html from pages where page_id is not null),
