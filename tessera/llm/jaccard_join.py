@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import record, slices, stored, string_bytes
@@ -38,7 +38,7 @@ SHINGLE, PERCENT = 5, 75
 #: Bits of a sketch cell's number; the sketch has 2^CELLS counts. RANGES parts of it are merged apart.
 CELLS, RANGES, SALTS = 20, 16, 16
 #: Sets whose postings one reducer holds, about.
-SETS_PER_PART = 8000
+SETS_PER_PART = 3000
 _LOW = np.uint64((1 << (64 - CELLS)) - 1)
 _POSTING = np.dtype([("key", "<u8"), ("sid", "<i8"), ("lead", "<u4"), ("size", "<i4"), ("pos", "<i4")])
 
@@ -228,14 +228,15 @@ def _derived(pairs: DataFrame, answers: DataFrame, percent: int) -> DataFrame:
 
 
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per document: uid, n_shingles, component_id (the smallest key reachable by links), its key and n_links of
-    its set (found links to other sets; copies are not counted)."""
+    """One row per document: uid (a hash of key and text), its key as doc_id, class (of linked sets; null without words),
+    n_shingles, component_id (the smallest key reachable by links) and n_links of its set (found links to other sets;
+    copies are not counted)."""
     docs = docs.where(F.col(key).isNotNull())
     body = F.coalesce(F.col(text), F.lit(""))
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key), body).alias("uid"), body.alias("text"))
     described, sketch = _sets(docs, n)
     one = described.where("sid is not null").groupBy("sid").agg(F.min("uid").alias("uid"), F.first("size").alias("size"))
-    parts = max(48, described.count() // SETS_PER_PART)
+    parts = max(64, described.count() // SETS_PER_PART)
     found = _postings(docs, _cell_ranks(sketch), parts, n, percent)
     first = stored(found.where("key is null").select("a", "b").distinct(), "leader-pairs")
     lists = found.where("key is not null").select("key", F.col("a").alias("sid"), "size", "pos")
@@ -269,5 +270,21 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = SHIN
     own = own.join(label.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     own = stored(own.join(degree, "sid", "left"), "classes")
     least = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    classes = stored(own.join(least, "component").select("sid", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "class-ids")
-    return described.join(classes, "sid", "left").select("uid", "doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = stored(own.join(least, "component").select("sid", F.col("component").alias("class"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "class-ids")
+    return described.join(classes, "sid", "left").select("uid", "doc_id", "class", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, all columns, without those of a linked class that are not its smallest key (then smallest uid), and
+    without repeats of a row's key and text. Rows without words, or without key, stay."""
+    found = join(docs, text, key, n, percent).where("class is not null").select("class", "doc_id", "uid")
+    kept = stored(found.groupBy("class").agg(F.min(F.struct("doc_id", "uid")).alias("kept")).select(F.col("kept.uid").alias("uid")), "kept")
+    gone = found.select("uid").distinct().join(kept, "uid", "left_anti").withColumnRenamed("uid", "__uid")
+    named = docs.withColumn("__uid", F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")))))
+    return named.join(gone, "__uid", "left_anti").transform(_unrepeated)
+
+
+def _unrepeated(named: DataFrame) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy("__uid").orderBy("__uid"))
+    with_id, without = named.where("__uid is not null"), named.where("__uid is null")
+    return with_id.withColumn("__nth", nth).where("__nth = 1").drop("__nth").unionByName(without).drop("__uid")

@@ -96,26 +96,35 @@ def greedy(lengths: np.ndarray, demand: np.ndarray, size: int) -> list[tuple[np.
         rest -= n * column
 
 
-def start(lengths: np.ndarray, demand: np.ndarray, size: int) -> np.ndarray:
-    """A basis of patterns, one per length, that the greedy patterns belong to. In the order in which lengths run out each
-    pattern holds only lengths that have not, so the basis is triangular."""
-    rest, basis = demand.copy(), np.diag(size // lengths)
+def start(lengths: np.ndarray, demand: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A basis of patterns, one per length, that the greedy patterns belong to, and its inverse. In the order in which
+    lengths run out each pattern holds only lengths that have not, so the basis is triangular. (No matrix product here or
+    in solve() calls a threaded library: the driver's process must not depend on one.)"""
+    rest, basis, turn = demand.copy(), np.diag(size // lengths), []
     for column, n in greedy(lengths, demand, size):
         rest -= n * column
         gone = np.flatnonzero((column > 0) & (rest == 0))
         if len(gone):
             basis[:, gone[0]] = column
-    return basis
+            turn += gone.tolist()
+    inverse = np.zeros(basis.shape)
+    for k, i in enumerate(turn):  # column i holds only lengths of turn[k:], so eliminating in this order fills in nothing before
+        inverse[i, i] += 1.0
+        inverse[i] /= basis[i, i]
+        later = np.flatnonzero(basis[:, i])
+        for j in later[later != i]:
+            inverse[j] -= basis[j, i] * inverse[i]
+    return basis, inverse
 
 
 def solve(lengths: np.ndarray, demand: np.ndarray, size: int, gap: float = GAP, rounds: int = 20, columns: int = 24) -> list[tuple[np.ndarray, float]]:
     """Patterns and how often the linear program uses each. `lengths` ascend. Each round prices by one knapsack and
     enters several of the columns that it offers."""
     m = len(lengths)
-    whole = start(lengths, demand, size)
+    whole, inverse = start(lengths, demand, size)
+    times = lambda column: np.einsum("ij,j->i", inverse, column)
     basis, demand = list(whole.T.astype(float)), demand.astype(float)
-    inverse = np.linalg.inv(whole.astype(float))
-    x = np.maximum(inverse @ demand, 0)
+    x = np.maximum(times(demand), 0)
     for _ in range(rounds):
         price = np.maximum(inverse.sum(0), 0)
         best, last = knapsack(price, lengths, size)
@@ -128,8 +137,8 @@ def solve(lengths: np.ndarray, demand: np.ndarray, size: int, gap: float = GAP,
                 break
             column = _pattern(last, lengths, int(size - lengths[i]), np.zeros(m))
             column[i] += 1
-            step = inverse @ column
-            if inverse.sum(0) @ column <= 1 + 1e-9:  # an earlier column of this round has priced it out
+            step = times(column)
+            if step.sum() <= 1 + 1e-9:  # an earlier column of this round has priced it out
                 continue
             up = np.flatnonzero(step > 1e-9)
             ratio = x[up] / step[up]

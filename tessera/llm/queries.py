@@ -14,7 +14,7 @@ BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text").where("doc_id is not null"))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 

@@ -30,7 +30,7 @@ from .hashing import _BASE, _BASE_INVERSE, _BYTE, _FOLD, _power, mix
 #: Labelled documents that training reads at most.
 TRAIN_DOCS = 3000
 #: Tokens of a chain at most, and the bits of a feature number.
-CHAIN, BITS = 256, 21
+CHAIN, BITS = 256, 20
 WEIGHTS = 1 << BITS
 SCORED = "doc_id long, score double, n_spans int, starts array<int>, stops array<int>"
 _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_spans", pa.int32()), ("starts", pa.list_(pa.int32())), ("stops", pa.list_(pa.int32()))])
@@ -114,7 +114,7 @@ def marginals(emit: np.ndarray, first: np.ndarray, change: np.ndarray, pairs: bo
     f[at] = here
     for t in range(1, size[0]):
         k = alive[t]
-        here = here[:k] @ grow
+        here = here[:k, :1] * grow[0] + here[:k, 1:] * grow[1]
         here[:, 1] *= odds[at[:k] + t]
         here /= here.sum(1, keepdims=True)
         f[at[:k] + t] = here
@@ -124,7 +124,7 @@ def marginals(emit: np.ndarray, first: np.ndarray, change: np.ndarray, pairs: bo
         k = alive[t + 1]
         nxt = b[at[:k] + t + 1].copy()
         nxt[:, 1] *= odds[at[:k] + t + 1]
-        got = nxt @ grow.T
+        got = nxt[:, :1] * grow[:, 0] + nxt[:, 1:] * grow[:, 1]
         b[at[:k] + t] = got / got.sum(1, keepdims=True)
         if pairs:
             joint = f[at[:k] + t][:, :, None] * grow * nxt[:, None, :]
@@ -137,16 +137,23 @@ def _encoded(rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return string_bytes(pa.array(rows, pa.large_string()))
 
 
+def _described(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features and chain marks of all tokens, and each text's number of tokens."""
+    starts, stops, count = tokens(data, ends)
+    first = chains(data, starts, count)
+    return features(data, starts, stops, first), first, np.diff(count)
+
+
 def fit(rows: list[str], toxic: np.ndarray, epochs: int = 4, rate: float = 0.5, decay: float = 1e-4, odds: float = 3.0, least: int = 3, share: float = 0.02) -> Field:
     """Fits the field to whole texts and their labels. A telling feature stands after at least `least` different words
     in toxic texts, and at least that share of their number."""
     none = Field(np.zeros(1, np.float32), np.zeros((2, 2)), 0.0, 0.0, True)
     if not len(rows) or toxic.all() or not toxic.any():
         return none
-    data, ends = _encoded(rows)
-    starts, stops, count = tokens(data, ends)
-    first = chains(data, starts, count)
-    x = features(data, starts, stops, first)
+    parts = [_described(*_encoded(rows[at : at + 64])) for at in range(0, len(rows), 64)]
+    x, first = np.concatenate([p[0] for p in parts], 1), np.concatenate([p[1] for p in parts])
+    count = np.r_[0, np.cumsum(np.concatenate([p[2] for p in parts]))]
+    del parts
     doc = np.repeat(np.arange(len(rows)), np.diff(count))
     # how many different words stand before each word or beginning, by label: copies of a text add nothing
     seen = [np.zeros(WEIGHTS), np.zeros(WEIGHTS)]
@@ -193,8 +200,8 @@ def fit(rows: list[str], toxic: np.ndarray, epochs: int = 4, rate: float = 0.5,
         q = 1 / (1 + np.exp(-np.clip(slope * top + shift, -30, 30)))
         g = weigh * (q - t)
         h = weigh * q * (1 - q) + 1e-6
-        a = np.array([[(h * top * top).sum() + 1, (h * top).sum()], [(h * top).sum(), h.sum() + 1e-3]])
-        move = np.linalg.solve(a, [(g * top).sum() + slope - 1, g.sum()])
+        aa, ab, bb, ga, gb = (h * top * top).sum() + 1, (h * top).sum(), h.sum() + 1e-3, (g * top).sum() + slope - 1, g.sum()
+        move = np.array([bb * ga - ab * gb, aa * gb - ab * ga]) / (aa * bb - ab * ab)
         slope, shift = slope - np.clip(move[0], -0.5, 0.5), shift - np.clip(move[1], -0.5, 0.5)
     field.slope, field.shift = float(max(slope, 1e-3)), float(shift)
     return field
@@ -232,6 +239,18 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 
 
+def _score(field: Field, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each text's score; all tokens' marginals, starts, stops, and the texts' first tokens among them."""
+    starts, stops, count = tokens(data, ends)
+    if field.empty:
+        return np.zeros(len(ends) - 1), np.zeros(len(starts)), starts, stops, count
+    first = chains(data, starts, count)
+    x = features(data, starts, stops, first)
+    p, _ = marginals(field.weights[x].sum(0) + field.weights[-1], first, field.change)
+    score = 1 / (1 + np.exp(-np.clip(field.slope * _logit(peaks(p, count)) + field.shift, -30, 30)))
+    return score, p, starts, stops, count
+
+
 def tag(docs: DataFrame, field: Field, at: float = 0.5) -> DataFrame:
     """Every document's score and the byte offsets of its toxic spans (neighbouring tokens with marginals of `at` or more)."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
@@ -241,14 +260,7 @@ def tag(docs: DataFrame, field: Field, at: float = 0.5) -> DataFrame:
         for batch in slices(batches, "text"):
             data, ends = string_bytes(batch.column("text"))
             rows = batch.num_rows
-            if field.empty:
-                yield record(_SCORED, doc_id=batch.column("doc_id"), score=np.zeros(rows), n_spans=np.zeros(rows, np.int32), starts=[[]] * rows, stops=[[]] * rows)
-                continue
-            starts, stops, count = tokens(data, ends)
-            first = chains(data, starts, count)
-            x = features(data, starts, stops, first)
-            p, _ = marginals(field.weights[x].sum(0) + field.weights[-1], first, field.change)
-            score = 1 / (1 + np.exp(-np.clip(field.slope * _logit(peaks(p, count)) + field.shift, -30, 30)))
+            score, p, starts, stops, count = _score(field, data, ends)
             hot = np.flatnonzero(p >= at)
             owner = np.searchsorted(count, hot, side="right") - 1
             # a span goes on while the next hot token follows in the same text
@@ -264,6 +276,18 @@ def tag(docs: DataFrame, field: Field, at: float = 0.5) -> DataFrame:
     return texts(docs).mapInArrow(run, SCORED)
 
 
+def without_toxic(docs: DataFrame, field: Field, at: float = 0.7) -> DataFrame:
+    """The rows of docs, all columns, whose text (null: empty) scores below `at`."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            body = batch.column("text").fill_null("")
+            yield batch.filter(pa.array(_score(shared.value, *string_bytes(body))[0] < at))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def scores(docs: DataFrame, labels: DataFrame, at: float = 0.7, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """The contract's rows."""
     out = tag(docs, train(docs, labels, train_docs))
