@@ -13,7 +13,7 @@ its contexts; counting is by window functions over hash keys, which spill.
 Windows never reach over documents. They are judged on the input, not on what is left.
 
 Defined results: null and empty texts have no words; a text shorter than a window keeps all; rows that repeat another's
-id and text are copies of each other; rows without id are left out; an empty table gives an empty result.
+id and text are copies of each other; a row without id is a document too; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -106,8 +106,10 @@ def _stretches(docs: DataFrame, window: int) -> DataFrame:
     found = docs.select("uid", "text").mapInArrow(run, _ROWS)
     by_stretch = Window.partitionBy("key", "ext")
     by_key = Window.partitionBy("key")
-    counted = found.withColumns({"of_ext": F.sum("times").over(by_stretch), "nth": F.row_number().over(by_stretch.orderBy(F.desc("times")))})
-    counted = counted.withColumn("alone", (F.col("of_ext") == 1) & (F.col("times") > 0)).withColumns({"of_key": F.sum("times").over(by_key), "mixed": F.max("alone").over(by_key)})
+    # the window over keys comes first: its partitions serve the stretches too
+    counted = found.withColumn("of_key", F.sum("times").over(by_key))
+    counted = counted.withColumns({"of_ext": F.sum("times").over(by_stretch), "nth": F.row_number().over(by_stretch.orderBy(F.desc("times")))})
+    counted = counted.withColumn("alone", (F.col("of_ext") == 1) & (F.col("times") > 0)).withColumn("mixed", F.max("alone").over(by_key))
     repeated = counted.where("of_key > 1 or times = 0")
     return repeated.select("uid", "at", "n", "alone", (F.col("mixed") & (F.col("nth") == 1) & (F.col("times") > 0)).alias("shown"))
 
@@ -151,7 +153,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", key: str =
     """docs with the text's kept words joined by one space (as it was where nothing goes), and the columns n_words,
     n_removed, kept_sha256 (of the joined words). An equally named column of docs gives way."""
     extra = ["n_words", "n_removed", "kept_sha256"]
-    docs = docs.drop(*extra).where(F.col(key).isNotNull())
+    docs = docs.drop(*extra)
     body = F.coalesce(F.col(text), F.lit(""))
     uid = F.xxhash64(F.col(key), body)
     spans = removed(docs.select(uid.alias("uid"), body.alias("text")), window)
