@@ -31,7 +31,7 @@ from .hashing import grams, mix, pair, ragged, word_hashes, words
 
 WINDOW = 35
 #: Anchors (or windows) of a task that are held together to count copies before the shuffle.
-HELD = 1_000_000
+HELD = 400_000
 _FOUND = pa.schema([("key", pa.int64()), ("ext", pa.int64()), ("times", pa.int8()), ("uid", pa.int64()), ("at", pa.int32()), ("n", pa.int16())])
 _ROWS = "key long, ext long, times byte, uid long, at int, n short"
 
