@@ -40,8 +40,9 @@ def page(callables: DataFrame, suites: DataFrame, limit: int, *, kind: str | Non
     have = suites.select("file", "path", "pending", F.lit(True).alias("there"))
     rows = rows.join(have, ["file", "path"], "left")
     if strict:
-        rows = rows.where(F.when(F.col("there").isNull(), F.raise_error(F.concat(F.lit("managed suite is missing: "), "id")).cast("boolean")).otherwise(F.lit(True)))
-    rows = rows.where("pending is not null").drop("there")
+        lost = F.col("there").isNull()
+        rows = rows.where(F.col("pending").isNotNull() | lost).withColumn("id", F.when(lost, F.raise_error(F.concat(F.lit("managed suite is missing: "), "id")).cast("string")).otherwise(F.col("id")))
+    rows = (rows if strict else rows.where("pending is not null")).drop("there")
     if texts is not None:
         rows = rows.join(texts.select("file", "text"), "file").withColumn("line", line_at(F.col("text"), F.col("pending"))).drop("text")
     return rows.orderBy("id").limit(limit)

@@ -209,10 +209,10 @@ def retired_files(spark, sf_dir):
     return snapshot.retired_files(rows.where("c_custkey % 5 <> 0"), rows.where("c_custkey % 7 <> 0"))
 
 
-@query("select count(*) as files, count_if(turn % 3 = 0 or (turn % 2 = 1 and text <> upper(text))) as changed from conversations")
+@query("select count(*) as files, count_if(turn % 3 = 0 or turn % 2 = 1) as changed from conversations")
 def change_report(spark, sf_dir):
     rows = _t(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("file"), "turn", "text")
-    now = rows.where("turn % 3 <> 0").select("file", F.when(F.col("turn") % 2 == 1, F.upper("text")).otherwise(F.col("text")).alias("text"))
+    now = rows.where("turn % 3 <> 0").select("file", F.when(F.col("turn") % 2 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
     return snapshot.report(rows.select("file", "text"), now)
 
 
@@ -416,3 +416,91 @@ def suite_sync(spark, sf_dir):
     none = desired.where("false")
     blank = desired.select("file").distinct().withColumn("text", F.lit(None).cast("string"))
     return suites.synchronised(blank, none, desired).select("file", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+@query("""with m as (select r_name as file, n_name as owner, k.kind, k.name, k.vis, k.static from nation join region on n_regionkey = r_regionkey,
+  (values ('method', 'run', null, true), ('get', 'size', null, false), ('constructor', 'x', null, false), ('method', 'gone', 'private', false), ('method', 'prototype', null, false), ('call', null, null, false), ('data', 'd', null, false)) as k(kind, name, vis, static))
+select file, owner || case kind when 'method' then '/static run' when 'get' then '/get size' when 'constructor' then '/new' when 'data' then '/d' else '' end as path, kind <> 'data' as callable from m where vis is null and coalesce(name, '') <> 'prototype'""")
+def member_projection(spark, sf_dir):
+    rows = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    kinds = [("method", "run", None, True), ("get", "size", None, False), ("constructor", "x", None, False), ("method", "gone", "private", False), ("method", "prototype", None, False), ("call", None, None, False), ("data", "d", None, False)]
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("kind"), F.lit(b).cast("string").alias("member"), F.lit(c).cast("string").alias("visibility"), F.lit(d).alias("is_static")) for a, b, c, d in kinds])).alias("m")
+    members = rows.select(F.col("r_name").alias("file"), F.array().cast("array<string>").alias("scope"), F.col("n_name").alias("owner"), each).select("file", "scope", "owner", "m.*")
+    return inventory.member_paths(members).select("file", _joined(), "callable")
+
+
+@query("select event_type as file, 'u' || user_id as path, min(event_id) as pending from events where event_id % 3 = 0 group by 1, 2")
+def first_pending(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").select(F.col("event_type").alias("file"), F.array(F.concat(F.lit("u"), _s("user_id"))).alias("path"), F.when(F.col("event_id") % 3 == 0, "TODO").otherwise("works").alias("title"), F.col("event_id").alias("offset"))
+    return inventory.first_pending(rows).select("file", _joined(), "pending")
+
+
+@query("select event_type as file, 'u' || user_id as path, count(*) as count from events group by 1, 2 having count(*) > 1")
+def duplicate_suites(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").select(F.col("event_type").alias("file"), F.array(F.concat(F.lit("u"), _s("user_id"))).alias("path"))
+    return inventory.duplicates(rows).select("file", _joined(), "count")
+
+
+@query("select r_name as file, sha256(string_agg('describe(\"' || n_name || '\", () => {' || chr(10) || '  it.todo(\"TODO\");' || chr(10) || '});', chr(10) order by n_name)) as text_sha256 from nation join region on n_regionkey = r_regionkey group by 1")
+def render_tree(spark, sf_dir):
+    rows = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    nodes = rows.select(F.col("r_name").alias("file"), F.array("n_name").alias("path"), F.lit(True).alias("callable"))
+    return edits.render(nodes).select("file", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+@query("select 'p' || (p_partkey % 50) as id, case when p_partkey % 5 = 2 then 'R' || (p_partkey % 3) else 'E' || (p_partkey % 7) end as error_type from part where p_partkey % 5 not in (3, 4) group by all")
+def effect_dispositions(spark, sf_dir):
+    k = F.col("p_partkey")
+    kinds = F.array(*map(F.lit, ["intrinsic", "propagated", "replaced", "caught", "avoided"]))
+    rows = _t(spark, sf_dir, "part").select(F.concat(F.lit("p"), (k % 50).cast("string")).alias("id"), F.concat(F.lit("E"), (k % 7).cast("string")).alias("error_type"), F.element_at(kinds, (k % 5 + 1).cast("int")).alias("disposition"), F.concat(F.lit("R"), (k % 3).cast("string")).alias("replacement"))
+    return effects.dispositions(rows)
+
+
+@query("""with e as (select 'r' || l_suppkey as region_id, case when l_orderkey % 97 = 0 then 'unknown' else 'E' || (l_partkey % 9) end as t from lineitem)
+select region_id, case when l_suppkey % 10 = 0 then 'Error' when u then 'unknown' else x end as binding from (select region_id, substr(region_id, 2)::int as l_suppkey, bool_or(t = 'unknown') as u, string_agg(distinct t, ' | ' order by t) as x from e group by 1)""")
+def catch_bindings(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").select(F.concat(F.lit("r"), _s("l_suppkey")).alias("region_id"), F.when(F.col("l_orderkey") % 97 == 0, "unknown").otherwise(F.concat(F.lit("E"), (F.col("l_partkey") % 9).cast("string"))).alias("error_type"), "l_suppkey")
+    notes = rows.where("l_suppkey % 10 = 0").select("region_id", F.lit("Error").alias("annotated")).distinct()
+    return effects.catch_bindings(rows, notes)
+
+
+@query("""select 'c' || s_suppkey as call_id, 'throws' as channel, case when s_suppkey % 2 = 0 then 'A' || s_nationkey else 'T' end as error_type from supplier union select 'c' || s_suppkey, 'throws', 'Fixed' from supplier""")
+def effect_arguments(spark, sf_dir):
+    rows = _t(spark, sf_dir, "supplier")
+    found = rows.select(F.concat(F.lit("f"), _s("s_suppkey")).alias("fn_id"), F.lit("throws").alias("channel"), F.explode(F.array(F.lit("T"), F.lit("Fixed"))).alias("error_type"))
+    given = rows.select(F.concat(F.lit("c"), _s("s_suppkey")).alias("call_id"), F.concat(F.lit("f"), _s("s_suppkey")).alias("fn_id"), F.when(F.col("s_suppkey") % 2 == 0, "T").otherwise("U").alias("variable"), F.concat(F.lit("A"), _s("s_nationkey")).alias("type"))
+    return effects.instantiate(found, given)
+
+
+@query("select conv_id || '/' || turn as file, case when turn % 2 = 0 then '[' || text || ']' else text end as text from conversations")
+def editor_overlay(spark, sf_dir):
+    rows = _t(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("file"), "text", "turn")
+    return effects.overlaid(rows.select("file", "text"), rows.where("turn % 2 = 0").select("file", F.concat(F.lit("["), "text", F.lit("]")).alias("text")))
+
+
+@query(f"with recursive e as ({_LINKS}), r as (select p_partkey as src, p_partkey as dst from part where p_partkey % 10 = 0 union select r.src, e.dst from r join e on r.dst = e.src) select distinct dst as variable, 'T' || (src % 4) as type from r union select dst, 'unknown' from r")
+def value_flow(spark, sf_dir):
+    seeds = _t(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("variable"), F.concat(F.lit("T"), (F.col("p_partkey") % 4).cast("string")).alias("type"))
+    return effects.values(_links(spark, sf_dir), seeds)
+
+
+@query("select 'f' || c_custkey as fn_id, case when c_custkey % 2 = 0 then 'intact' else 'any' end as assumption, string_agg(distinct 'E' || (o_orderkey % 3), ' | ' order by 'E' || (o_orderkey % 3)) as errors from customer join orders on o_custkey = c_custkey where o_orderkey % 4 <> 0 group by 1, 2")
+def scoped_contracts(spark, sf_dir):
+    rows = _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = rows.select(F.concat(F.lit("f"), _s("c_custkey")).alias("fn_id"), F.when(F.col("c_custkey") % 2 == 0, "intact").otherwise("any").alias("assumption"), F.when(F.col("o_orderkey") % 4 == 0, "callback").otherwise("throws").alias("channel"), F.concat(F.lit("E"), (F.col("o_orderkey") % 3).cast("string")).alias("error_type"))
+    return effects.scoped_contracts(rows)
+
+
+@query("select p_partkey, case when p_partkey % 2 = 0 then '[' || replace(p_name, ' ', '') || ']' else replace(p_name, ' ', '') end as member, case when p_type like 'S%' then 'node:' || p_type else case when starts_with('node:' || p_type, 'node:') then 'node:' || p_type end end as module, replace(lower(p_brand), '#', '') || '.' || p_size || '.test.ts' as file from part")
+def key_names(spark, sf_dir):
+    k = F.col("p_partkey")
+    module = F.when(F.col("p_type").startswith("S"), F.col("p_type")).otherwise(F.concat(F.lit("node:"), "p_type"))
+    path = F.concat(F.lit("lib."), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("")), F.lit("."), _s("p_size"), F.lit(".d.ts"))
+    return _t(spark, sf_dir, "part").select("p_partkey", naming.member_key(F.col("p_name"), k % 2 == 0).alias("member"), naming.module_name(module).alias("module"), naming.test_file(path, False).alias("file"))
+
+
+@query("with recursive k as (select 0 as i union all select i + 1 from k where i < 8), d as (select doc_id, text from documents where text is not null) select doc_id, min(i)::int as underscores from d, k where not contains(text || case when doc_id % 3 = 0 then 'x____' else 'x' end, 'x' || repeat('_', i)) group by 1")
+def unused_names(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").where("text is not null")
+    body = F.concat("text", F.when(F.col("doc_id") % 3 == 0, "x____").otherwise("x"))
+    return docs.select("doc_id", (F.length(text.unused_name(body, "x")) - 1).alias("underscores"))
