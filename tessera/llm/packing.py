@@ -27,7 +27,7 @@ from .tokens import encode
 
 SIZE = 1024
 #: Pieces that are ranked together, about.
-BLOCK = 20_000
+BLOCK = 2_000
 #: The linear program ends when a bound shows it within this share of its best value.
 GAP = 2e-4
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
@@ -97,16 +97,26 @@ def greedy(lengths: np.ndarray, demand: np.ndarray, size: int) -> list[tuple[np.
 
 
 def start(lengths: np.ndarray, demand: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """A basis of patterns, one per length, that the greedy patterns belong to, and its inverse. In the order in which
-    lengths run out each pattern holds only lengths that have not, so the basis is triangular. (No matrix product here or
-    in solve() calls a threaded library: the driver's process must not depend on one.)"""
-    rest, basis, turn = demand.copy(), np.diag(size // lengths), []
-    for column, n in greedy(lengths, demand, size):
-        rest -= n * column
-        gone = np.flatnonzero((column > 0) & (rest == 0))
-        if len(gone):
-            basis[:, gone[0]] = column
-            turn += gone.tolist()
+    """A first basis of patterns, one per length, and its inverse. Patterns take the longest length left, then the longest
+    that fit, each as often (in fractions too) as until a length runs out, which it then stands for. So in the order in
+    which lengths run out the basis is triangular, and its solution is not negative. (No matrix product here or in solve()
+    calls a threaded library: the driver's process must not depend on one.)"""
+    rest, basis, turn = demand.astype(float), np.diag(size // lengths), []
+    left = list(range(len(lengths)))
+    while left:
+        column, room = np.zeros(len(lengths), np.int64), size
+        for i in reversed(left):
+            if lengths[i] <= room:
+                column[i] = room // lengths[i]
+                room -= int(column[i] * lengths[i])
+        held = np.flatnonzero(column)
+        ratio = rest[held] / column[held]
+        rest[held] -= ratio.min() * column[held]
+        gone = held[ratio <= ratio.min() * (1 + 1e-12)]
+        rest[gone] = 0
+        basis[:, gone[0]] = column
+        turn += gone.tolist()
+        left = [i for i in left if rest[i] > 0]
     inverse = np.zeros(basis.shape)
     for k, i in enumerate(turn):  # column i holds only lengths of turn[k:], so eliminating in this order fills in nothing before
         inverse[i, i] += 1.0
