@@ -28,7 +28,7 @@ from .common import record, slices, string_bytes, texts
 from .hashing import _BASE, _BASE_INVERSE, _BYTE, _FOLD, _power, mix
 
 #: Labelled documents that training reads at most.
-TRAIN_DOCS = 3000
+TRAIN_DOCS = 2400
 #: Tokens of a chain at most, and the bits of a feature number.
 CHAIN, BITS = 256, 20
 WEIGHTS = 1 << BITS
@@ -144,9 +144,9 @@ def _described(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return features(data, starts, stops, first), first, np.diff(count)
 
 
-def fit(rows: list[str], toxic: np.ndarray, epochs: int = 4, rate: float = 0.5, decay: float = 1e-4, odds: float = 3.0, least: int = 3, share: float = 0.02) -> Field:
-    """Fits the field to whole texts and their labels. A telling feature stands after at least `least` different words
-    in toxic texts, and at least that share of their number."""
+def fit(rows: list[str], toxic: np.ndarray, epochs: int = 4, rate: float = 0.5, decay: float = 1e-4, odds: float = 3.0, least: int = 2, share: float = 0.02) -> Field:
+    """Fits the field to whole texts and their labels. A telling feature stands in at least `least` toxic texts and after
+    as many different words there, and in at least that share of them."""
     none = Field(np.zeros(1, np.float32), np.zeros((2, 2)), 0.0, 0.0, True)
     if not len(rows) or toxic.all() or not toxic.any():
         return none
@@ -155,22 +155,30 @@ def fit(rows: list[str], toxic: np.ndarray, epochs: int = 4, rate: float = 0.5,
     count = np.r_[0, np.cumsum(np.concatenate([p[2] for p in parts]))]
     del parts
     doc = np.repeat(np.arange(len(rows)), np.diff(count))
-    # how many different words stand before each word or beginning, by label: copies of a text add nothing
+    # every eighth text of each label is kept back to calibrate on
+    back = np.zeros(len(rows), bool)
+    for label in (False, True):
+        back[np.flatnonzero(toxic == label)[4::8]] = True
+    # in how many texts a word or beginning stands, and after how many different words: copies of a text add little to
+    # the second, a text that repeats itself nothing to the first
     seen = [np.zeros(WEIGHTS), np.zeros(WEIGHTS)]
     for label in (0, 1):
-        of = toxic[doc] == label
+        of = (toxic[doc] == label) & ~back[doc]
+        counts = np.zeros((2, WEIGHTS))
         for kind in range(4):
-            both = np.unique(x[kind, of].astype(np.int64) << BITS | x[5, of])
-            seen[label] += np.bincount(both >> BITS, minlength=WEIGHTS)
-    telling = np.log((seen[1] + 0.5) / toxic.sum()) - np.log((seen[0] + 0.5) / (~toxic).sum())
-    marks = (telling >= odds) & (seen[1] >= max(least, share * toxic.sum()))
+            for k, beside in enumerate((doc, x[5])):
+                both = np.unique(x[kind, of].astype(np.int64) << 32 | beside[of].astype(np.int64))
+                counts[k] += np.bincount(both >> 32, minlength=WEIGHTS)
+        seen[label] = counts.min(0)
+    telling = np.log((seen[1] + 0.5) / (toxic & ~back).sum()) - np.log((seen[0] + 0.5) / (~toxic & ~back).sum())
+    marks = (telling >= odds) & (seen[1] >= max(least, share * (toxic & ~back).sum()))
     y = (toxic[doc] & marks[x[:4]].any(0)).astype(float)
     weights, sums, bias = np.zeros(WEIGHTS), np.full(WEIGHTS, 1e-2), -3.0
     change, change_sums = np.zeros((2, 2)), np.full((2, 2), 1.0)
     weights_bias = np.array([bias])
-    order = np.random.default_rng(8).permutation(len(rows))
+    order = np.random.default_rng(8).permutation(np.flatnonzero(~back))
     for _ in range(epochs):
-        for part in np.array_split(order, max(1, len(rows) // 100)):
+        for part in np.array_split(order, max(1, len(order) // 100)):
             part = np.sort(part)
             use = np.concatenate([np.arange(count[d], count[d + 1]) for d in part]) if len(part) else np.zeros(0, int)
             if not len(use):
@@ -193,14 +201,16 @@ def fit(rows: list[str], toxic: np.ndarray, epochs: int = 4, rate: float = 0.5,
             change += 0.2 * turn / np.sqrt(change_sums)
     field = Field(np.r_[weights, weights_bias[0]].astype(np.float32), change, 1.0, 0.0)
     top = _logit(peaks(marginals(field.weights[x].sum(0) + field.weights[-1], first, change)[0], count))
-    # logistic regression of the label on the largest marginal's log-odds
+    held = back if (toxic & back).any() and (~toxic & back).any() else np.ones(len(rows), bool)
+    top, toxic = top[held], toxic[held]
+    # logistic regression of the label on the largest marginal's log-odds, over the texts kept back
     slope, shift, t = 1.0, 0.0, toxic.astype(float)
     weigh = np.where(toxic, 0.5 / t.mean(), 0.5 / (1 - t).mean())
     for _ in range(200):
         q = 1 / (1 + np.exp(-np.clip(slope * top + shift, -30, 30)))
         g = weigh * (q - t)
         h = weigh * q * (1 - q) + 1e-6
-        aa, ab, bb, ga, gb = (h * top * top).sum() + 1, (h * top).sum(), h.sum() + 1e-3, (g * top).sum() + slope - 1, g.sum()
+        aa, ab, bb, ga, gb = (h * top * top).sum() + 2, (h * top).sum(), h.sum() + 2, (g * top).sum() + 2 * (slope - 1), g.sum() + 2 * shift
         move = np.array([bb * ga - ab * gb, aa * gb - ab * ga]) / (aa * bb - ab * ab)
         slope, shift = slope - np.clip(move[0], -0.5, 0.5), shift - np.clip(move[1], -0.5, 0.5)
     field.slope, field.shift = float(max(slope, 1e-3)), float(shift)
