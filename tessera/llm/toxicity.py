@@ -30,13 +30,12 @@ from .hashing import _BASE, _BASE_INVERSE, _BYTE, _FOLD, _power, mix
 #: Labelled documents that training reads at most.
 TRAIN_DOCS = 2400
 #: Tokens of a chain at most, and the bits of a feature number.
-CHAIN, BITS = 256, 20
+CHAIN, BITS = 256, 22
 WEIGHTS = 1 << BITS
 SCORED = "doc_id long, score double, n_spans int, starts array<int>, stops array<int>"
 _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_spans", pa.int32()), ("starts", pa.list_(pa.int32())), ("stops", pa.list_(pa.int32()))])
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-KINDS = 7
 
 
 @dataclass
@@ -145,8 +144,8 @@ def _described(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def fit(rows: list[str], toxic: np.ndarray, epochs: int = 4, rate: float = 0.5, decay: float = 1e-4, odds: float = 3.0, least: int = 2, share: float = 0.02) -> Field:
-    """Fits the field to whole texts and their labels. A telling feature stands in at least `least` toxic texts and after
-    as many different words there, and in at least that share of them."""
+    """Fits the field to whole texts and their labels. A telling feature first stands after at least `least` different
+    words in toxic texts, and at least that share of their number."""
     none = Field(np.zeros(1, np.float32), np.zeros((2, 2)), 0.0, 0.0, True)
     if not len(rows) or toxic.all() or not toxic.any():
         return none
@@ -159,21 +158,20 @@ def fit(rows: list[str], toxic: np.ndarray, epochs: int = 4, rate: float = 0.5,
     back = np.zeros(len(rows), bool)
     for label in (False, True):
         back[np.flatnonzero(toxic == label)[4::8]] = True
-    # in how many texts a word or beginning stands, and after how many different words: copies of a text add little to
-    # the second, a text that repeats itself nothing to the first
-    seen = [np.zeros(WEIGHTS), np.zeros(WEIGHTS)]
+    # how many different words stand before a word or beginning where it first stands in a text: copies of a text, or a
+    # text that repeats itself, add nothing
+    seen = [np.zeros(WEIGHTS, np.float32), np.zeros(WEIGHTS, np.float32)]
     for label in (0, 1):
-        of = (toxic[doc] == label) & ~back[doc]
-        counts = np.zeros((2, WEIGHTS))
+        of = np.flatnonzero((toxic[doc] == label) & ~back[doc])
         for kind in range(4):
-            for k, beside in enumerate((doc, x[5])):
-                both = np.unique(x[kind, of].astype(np.int64) << 32 | beside[of].astype(np.int64))
-                counts[k] += np.bincount(both >> 32, minlength=WEIGHTS)
-        seen[label] = counts.min(0)
+            key = x[kind, of].astype(np.int64) << 32
+            first_in = np.unique(key | doc[of], return_index=True)[1]
+            both = np.unique(key[first_in] | x[5, of][first_in].astype(np.int64))
+            np.add.at(seen[label], both >> 32, 1)
     telling = np.log((seen[1] + 0.5) / (toxic & ~back).sum()) - np.log((seen[0] + 0.5) / (~toxic & ~back).sum())
     marks = (telling >= odds) & (seen[1] >= max(least, share * (toxic & ~back).sum()))
     y = (toxic[doc] & marks[x[:4]].any(0)).astype(float)
-    weights, sums, bias = np.zeros(WEIGHTS), np.full(WEIGHTS, 1e-2), -3.0
+    weights, sums, bias = np.zeros(WEIGHTS, np.float32), np.full(WEIGHTS, 1e-2, np.float32), -3.0
     change, change_sums = np.zeros((2, 2)), np.full((2, 2), 1.0)
     weights_bias = np.array([bias])
     order = np.random.default_rng(8).permutation(np.flatnonzero(~back))
@@ -186,12 +184,10 @@ def fit(rows: list[str], toxic: np.ndarray, epochs: int = 4, rate: float = 0.5,
             xs, ys, fs = x[:, use], y[use], first[use]
             p, expected = marginals(weights[xs].sum(0) + weights_bias[0], fs, change, True)
             off = ys - p
-            step = np.zeros(WEIGHTS)
-            for kind in range(KINDS):
-                step += np.bincount(xs[kind], off, minlength=WEIGHTS)
-            step -= decay * weights * len(part)
-            sums += step * step
-            weights += rate * step / np.sqrt(sums)
+            used, at = np.unique(xs, return_inverse=True)
+            step = np.bincount(at.ravel(), np.broadcast_to(off, xs.shape).ravel()) - decay * weights[used] * len(part)
+            sums[used] += step * step
+            weights[used] += rate * step / np.sqrt(sums[used])
             weights_bias[0] += 0.1 * np.sign(off.sum()) * min(1.0, abs(off.sum()) / max(1.0, ys.sum()))
             inner = np.flatnonzero(~fs)
             real = np.zeros((2, 2))
