@@ -27,6 +27,8 @@ from .common import record, slices, texts
 SPACE = "▁"
 #: Chunks that a worker remembers at most; it starts anew beyond (speed only).
 REMEMBERED = 400_000
+#: Bytes of text whose new chunks are merged together: steps over more chunks cost less each.
+SLICE = 4 << 20
 ENCODED = "doc_id long, ids array<int>, decoded string"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
@@ -156,7 +158,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, ids (with begin and end) and the decoded text of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             got = list(_each(batch, model))
             yield record(_ENCODED, doc_id=batch.column("doc_id"), ids=[np.frombuffer(i, "<u4").astype(np.int32) for i, _ in got], decoded=[d for _, d in got])
 
@@ -168,7 +170,7 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             got = [(len(i) // 4, sha(i), sha(d.encode())) for i, d in _each(batch, model)]
             n, ids, decoded = map(list, zip(*got, strict=True))
             yield record(_DIGESTS, doc_id=batch.column("doc_id"), n_tokens=n, ids_sha256=ids, decoded_sha256=decoded)
