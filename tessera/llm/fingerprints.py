@@ -1,7 +1,9 @@
 """Document fingerprints as invertible Bloom lookup sketches, by SQL functions only.
 
-A text's paragraphs (lines; in shorter texts sentences, in very short ones groups of words, so that there are some) are
-digested to 48 bits and 16 bits that certify them. A sketch has three tables of cells; each digest is counted and XORed
+A text's paragraphs are lines and groups of sentences, in shorter texts sentences, in short ones words. Where they are few
+(no line feeds or sentence ends), they are groups of words, then words, and pairs of letters for fewer than four words.
+Groups end after a part chosen by its hash, so that cuts depend on no script and an edit moves only those beside it.
+Paragraphs are digested to 48 bits and 16 bits that certify them. A sketch has three tables of cells; each digest is counted and XORed
 into one cell of each. Sketches of two versions subtract cell by cell, which leaves only differing digests; cells that
 hold a single digest give it away and are peeled, until nothing is left. Larger sets are split into strata by digest, each
 with a sketch of its own. If a stratum does not peel empty, it is tried again with sketches of twice and four times the
@@ -27,8 +29,12 @@ from .common import texts
 CELLS, LOAD = 8, 10
 #: Rows of a bucket, and quantiles at most.
 BUCKET, QUANTILES = 2000, 512
-#: Texts below these lengths (code points) have words, groups of words, or sentences as paragraphs.
-TINY, SHORT, MIDDLE = 64, 256, 2048
+#: Texts below these lengths (code points) have words, or lines and sentences, as paragraphs.
+SHORT, MIDDLE = 256, 2048
+#: The kinds: pairs of letters; lines and sentences; lines and groups of sentences; words. WORDS + k: groups of 2^k words.
+LETTERS, SENTENCES, PASSAGES, WORDS = 0, 1, 2, 10
+#: Fewer paragraphs (fewer words) than these are too few; groups have 2^k words in texts of 2^k times GROUPED code points.
+FEW, FEW_WORDS, GROUPED = 8, 4, 96.0
 _LOW = (1 << 48) - 1
 
 
@@ -38,17 +44,42 @@ def let(name: str, value: str, body: str) -> str:
 
 
 def kind(text: str) -> str:
-    return f"CASE WHEN length({text}) < {TINY} THEN 0 WHEN length({text}) < {SHORT} THEN 1 WHEN length({text}) < {MIDDLE} THEN 2 ELSE 3 END"
+    """How a text is cut by its length alone; see settled()."""
+    return f"CASE WHEN length({text}) < {SHORT} THEN {WORDS} WHEN length({text}) < {MIDDLE} THEN {SENTENCES} ELSE {PASSAGES} END"
+
+
+def grouped(parts: str, share: str) -> str:
+    """The hashes of groups of parts; a group ends after a part whose hash is divisible by share, or that ends a line."""
+    starts = f"filter(sequence(0, size(p) - 1), i -> i = 0 OR (xxhash64(get(p, i - 1)) & ({share} - 1)) = 0 OR endswith(get(p, i - 1), '\\n'))"
+    hashes = "transform(b, (s, j) -> xxhash64(slice(p, s + 1, coalesce(get(b, j + 1), size(p)) - s)))"
+    return let("p", f"filter({parts}, s -> s <> '')", f"IF(size(p) = 0, CAST(array() AS array<bigint>), {let('b', starts, hashes)})")
 
 
 def digests(text: str, kind: str) -> str:
     """The distinct certified digests of a text's paragraphs."""
-    # words; a few words; sentences, or up to a word that begins like few others; a few sentences
-    cuts = [r"\\s+", r"\\s+(?=[a-mA-M])|\\n+", r"[.!?]+\\s+|\\s+(?=[Tt]o|[Uu]n)|\\n+", r"[.!?]+\\s+(?=[A-EN-Pa-en-p])|\\n+"]
-    parts = " ".join(f"WHEN {k} THEN split({text}, '{cut}')" for k, cut in enumerate(cuts))
-    parts = f"CASE {kind} {parts} END"
-    certified = let("h", f"xxhash64(s) & {_LOW}L", "h | shiftleft(xxhash64(h) & 65535L, 48)")
-    return f"array_distinct(transform(filter({parts}, s -> s <> ''), s -> {certified}))"
+    end = r"[.!?\u061f\u06d4\u0964]+\\s+|[\u3002\uff01\uff1f]+"
+    after = r"(?<=\\n)(?!\\n)|(?<=[.!?\u061f\u06d4\u0964] )|(?<=[\u3002\uff01\uff1f])"  # keeps what it cuts behind
+    # a character of a script without spaces is a word
+    word = r"\\s+|(?<=[\\u0e00-\\u0eff\\u1000-\\u109f\\u1780-\\u17ff\\u3040-\\u30ff\\u3400-\\u9fff\\uf900-\\ufaff])"
+    plain = lambda parts: f"transform(filter({parts}, s -> s <> ''), s -> xxhash64(s))"
+    letters = let("e", f"split({text}, '')", "transform(zip_with(e, slice(e, 2, size(e)), (x, y) -> concat(x, coalesce(y, ''))), s -> xxhash64(s))")
+    hashes = f"""CASE WHEN {kind} = {LETTERS} THEN {letters}
+      WHEN {kind} = {SENTENCES} THEN {plain(f"split({text}, '{end}|\\\\n+')")}
+      WHEN {kind} = {PASSAGES} THEN {grouped(f"split(concat({text}, '\\n'), '{after}')", "4")}
+      WHEN {kind} = {WORDS} THEN {plain(f"split({text}, '{word}')")}
+      ELSE {grouped(f"split({text}, '{word}')", f"shiftleft(1, {kind} - {WORDS})")} END"""
+    certified = let("h", f"x & {_LOW}L", "h | shiftleft(xxhash64(h) & 65535L, 48)")
+    return f"array_distinct(transform({hashes}, x -> {certified}))"
+
+
+def settled(text: str, kind: str, keys: str) -> str:
+    """The kind and the digests of a text, from those by its length: finer ones where these are few."""
+    pair = lambda k, d: f"named_struct('kind', {k}, 'keys', {d})"
+    letters = pair(LETTERS, digests(text, str(LETTERS)))
+    words = let("w", digests(text, str(WORDS)), f"IF(size(w) >= {FEW_WORDS}, {pair(WORDS, 'w')}, {letters})")
+    some = let("g", digests(text, "k"), f"IF(size(g) >= {FEW}, {pair('k', 'g')}, {words})")
+    some = let("k", f"{WORDS} + CAST(floor(log2(length({text}) / {GROUPED})) AS INT)", some)
+    return f"CASE WHEN size({keys}) >= IF({kind} = {WORDS}, {FEW_WORDS}, {FEW}) THEN {pair(kind, keys)} WHEN {kind} = {WORDS} THEN {letters} ELSE {some} END"
 
 
 def sketch(keys: str, cells: int) -> str:
@@ -119,17 +150,24 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 def fingerprint(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint of every text."""
-    rows = texts(docs).withColumn("kind", F.expr(kind("text"))).withColumn("own", F.expr(digests("text", "kind")))
-    return rows.select("doc_id", F.expr(written("own", "kind")).alias("fingerprint"))
+    rows = _cut(texts(docs), "text", "cut")
+    return rows.select("doc_id", F.expr(written("cut.keys", "cut.kind")).alias("fingerprint"))
+
+
+def _cut(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """rows with the kind and the digests of a text."""
+    rows = rows.withColumn("by_length", F.expr(kind(text))).withColumn("first", F.expr(digests(text, "by_length")))
+    return rows.withColumn(name, F.expr(settled(text, "by_length", "first"))).drop("by_length", "first")
 
 
 def compare(versions: DataFrame) -> DataFrame:
     """versions(doc_id, old_text, new_text) with the paragraph digests that differ (n: 1 if only the old text has it, -1
     if only the new one; k: the digest) and the likeness."""
     rows = versions.withColumns({"old_text": F.coalesce("old_text", F.lit("")), "new_text": F.coalesce("new_text", F.lit(""))})
-    rows = rows.withColumn("kind", F.expr(kind("old_text"))).withColumns({"old": F.expr(digests("old_text", "kind")), "new": F.expr(digests("new_text", "kind"))})
+    rows = _cut(rows, "old_text", "cut").withColumns({"old": F.expr("cut.keys"), "kind": F.expr("cut.kind")})
+    rows = rows.withColumn("new", F.expr(digests("new_text", "kind")))
     rows = rows.withColumn("differing", F.expr(difference("old", "new")))
-    return rows.withColumn("likeness", F.expr(likeness("old", "new", "differing"))).drop("kind", "old", "new")
+    return rows.withColumn("likeness", F.expr(likeness("old", "new", "differing"))).drop("cut", "kind", "old", "new")
 
 
 def edited_and_next(docs: DataFrame) -> DataFrame:
@@ -137,8 +175,10 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
     half = "CAST(floor(n_chars / 2) AS INT)"
     rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     rows = rows.withColumn("edited", F.expr(f"concat(substring(text, 1, CAST(n_chars AS INT) - {half}), substring(next_text, 1, {half}))"))
-    rows = rows.withColumn("kind", F.expr(kind("text"))).withColumns({"own": F.expr(digests("text", "kind")), "new": F.expr(digests("edited", "kind")), "other": F.expr(digests("next_text", "kind")), "edited_kind": F.expr(kind("edited")), "edited_sha256": F.sha2(F.col("edited").cast("binary"), 256)})
-    rows = rows.withColumn("new_own", F.expr(f"IF(edited_kind = kind, new, {digests('edited', 'edited_kind')})"))
+    rows = _cut(rows, "text", "cut").withColumns({"own": F.expr("cut.keys"), "kind": F.expr("cut.kind")})
+    rows = rows.withColumns({"new": F.expr(digests("edited", "kind")), "other": F.expr(digests("next_text", "kind")), "by_length": F.expr(kind("edited")), "edited_sha256": F.sha2(F.col("edited").cast("binary"), 256)})
+    rows = rows.withColumn("first", F.expr(f"IF(by_length = kind, new, {digests('edited', 'by_length')})"))
+    rows = rows.withColumn("edited_cut", F.expr(settled("edited", "by_length", "first"))).withColumns({"new_own": F.expr("edited_cut.keys"), "edited_kind": F.expr("edited_cut.kind")})
     rows = rows.withColumns({"gone": F.expr(difference("own", "new")), "apart": F.expr(difference("own", "other"))})
     return rows.select(
         "doc_id", "n_chars", "edited_sha256",

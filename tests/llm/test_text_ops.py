@@ -284,6 +284,17 @@ def test_fingerprints(spark, docs, none):
     assert one["near_next"] == 1.0
 
 
+def test_fingerprints_of_texts_without_usual_cuts(spark):
+    r = random.Random(12)
+    written = lambda letters, n, sep: sep.join("".join(r.choices(letters, k=r.randint(2, 8))) for _ in range(n))
+    alphabets = ["qrstuvwxyz", "абвгдежз", "אבגדהוזח", "αβγδεζηθ"]
+    texts = [written(a, n, " ") for a in alphabets for n in (8, 30, 120, 500)]
+    texts += ["".join(chr(r.randrange(0x4E00, 0x9F00)) for _ in range(n)) for n in (30, 300, 3000)] + ["x" * 30 + "yz" * 40, "solitary", "two words"]
+    rows = by_id(fingerprints.edited_and_next(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert {i: x["near_edited"] for i, x in rows.items() if x["near_edited"] <= 0.15} == {}
+    assert all(x["near_edited"] > x["near_next"] for x in rows.values())
+
+
 def test_next_over_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "BUCKET", 3)
     monkeypatch.setattr(fingerprints, "QUANTILES", 4)
