@@ -168,6 +168,21 @@ def tokens_of(text):
     return [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
+def test_special_tokens_as_the_library_has_them(spark):
+    from tokenizers import Tokenizer
+
+    from tessera.llm import tokens
+
+    library = Tokenizer.from_file(BPE)
+    texts = ["plain", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext| >", " <|ENDOFTEXT|>"]
+    wanted = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in tokens.encode(BPE, texts, None)] == wanted and 50256 in wanted[1]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["ids"] for r in packing.pack(docs, BPE).collect()} == {i: [*ids, 0] for i, ids in enumerate(wanted)}
+    for r in token_output.read_pieces(spark, token_output.write(docs, BPE)).collect():
+        assert r["ids_crc32"] == zlib.crc32(np.array([*wanted[r["doc_id"]], 0], "<u4").tobytes())
+
+
 def check_pieces(rows, size, sequence):
     whole, used = {i: tokens_of(t) for i, t, *_ in corpus()}, defaultdict(list)
     covered = defaultdict(list)
