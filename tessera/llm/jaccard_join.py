@@ -12,7 +12,8 @@ answers, kept as the shingles by which a set differs from its leader, then give
 that they already connect need no comparison, and of the rest, two sets of one leader are compared by their differences
 alone. Sets without a common leader are compared in full.
 
-Every pair that is similar enough is connected by the links found; components are those of all links.
+Every pair that is similar enough is connected by the links found; components are those of all links. Only where links are
+to be counted, pairs that are connected already are answered too.
 
 Defined results: null texts and texts without words have empty sets, which link with nothing; a text with fewer words than
 a shingle has one, all of it; rows without id are left out; rows that repeat an id and text count once per row; an empty
@@ -227,10 +228,10 @@ def _derived(pairs: DataFrame, answers: DataFrame, percent: int) -> DataFrame:
     return rows.select("x", "y", linked.alias("linked")).groupBy("x", "y").agg(F.max("linked").alias("linked"))
 
 
-def join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = SHINGLE, percent: int = PERCENT, links: bool = False) -> DataFrame:
     """One row per document: uid (a hash of key and text), its key as doc_id, class (of linked sets; null without words),
-    n_shingles, component_id (the smallest key reachable by links) and n_links of its set (found links to other sets;
-    copies are not counted)."""
+    n_shingles and component_id (the smallest key reachable by links); with links also n_links of its set: all links to
+    other sets, copies not counted. That answers every candidate pair, also of sets that are connected already."""
     docs = docs.where(F.col(key).isNotNull())
     body = F.coalesce(F.col(text), F.lit(""))
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key), body).alias("uid"), body.alias("text"))
@@ -244,14 +245,16 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = SHIN
     chosen = one.join(used, "sid").select("uid", "sid")
     bodies = stored(docs.select("uid", "text").join(chosen, "uid").dropDuplicates(["sid"]).select("sid", "text"), "bodies")
     answers = stored(_compared(first, bodies, n, percent), "answers")
-    links = answers.where("linked").select("a", "b")
-    label = components(links)
+    direct = answers.where("linked").select("a", "b")
+    label = components(direct)
     # sets of one block that the leaders' answers do not connect yet
     named = lists.join(label.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    if links:  # each set for itself, so that all pairs of a list are open
+        named = named.withColumn("component", F.col("sid"))
     main = named.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
     main = stored(main, "main-components")
     named = stored(named.join(main, "key"), "open-lists")
-    x = named.where("component <> main").select("key", *(F.col(c).alias(c + "_x") for c in ("sid", "size", "pos", "component")))
+    x = (named if links else named.where("component <> main")).select("key", *(F.col(c).alias(c + "_x") for c in ("sid", "size", "pos", "component")))
     y = named.select("key", *(F.col(c).alias(c + "_y") for c in ("sid", "size", "pos", "component")))
     room = F.least(F.col("size_x") - F.col("pos_x"), F.col("size_y") - F.col("pos_y"))
     reach = (100 + percent) * room >= percent * (F.col("size_x") + F.col("size_y"))
@@ -262,16 +265,20 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = SHIN
     full = _compared(open_pairs.join(derived, ["x", "y"], "left_anti").select(F.col("x").alias("a"), F.col("y").alias("b")), bodies, n, percent)
     later = stored(derived.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(full.where("linked").select("a", "b")), "later-links")
     if not later.isEmpty():
-        label = components(links.unionByName(later))
-    every = links.unionByName(later)
-    degree = every.select(F.col("a").alias("sid")).unionByName(every.select(F.col("b").alias("sid"))).groupBy("sid").agg(F.count("*").alias("n_links"))
+        label = components(direct.unionByName(later))
     # each class of linked sets, then each document by its set; a set that links with nothing stands for itself
     own = described.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     own = own.join(label.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    own = stored(own.join(degree, "sid", "left"), "classes")
+    if links:
+        every = direct.unionByName(later).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        degree = every.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("n_links"))
+        own = own.join(degree, "sid", "left")
+    own = stored(own, "classes")
     least = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    classes = stored(own.join(least, "component").select("sid", F.col("component").alias("class"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "class-ids")
-    return described.join(classes, "sid", "left").select("uid", "doc_id", "class", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    count = ["n_links"] if links else []
+    classes = stored(own.join(least, "component").select("sid", F.col("component").alias("class"), "component_id", *count), "class-ids")
+    count = [F.coalesce(c, F.lit(0)).alias(c) for c in count]
+    return described.join(classes, "sid", "left").select("uid", "doc_id", "class", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *count)
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

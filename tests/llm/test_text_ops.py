@@ -133,6 +133,25 @@ def test_jaccard_join_on_many_drifting_copies(spark):
     assert got == brute_join(rows)
 
 
+def test_jaccard_join_counts_all_links(spark):
+    r = random.Random(7)
+    texts = [" ".join(f"w{k}" for k in range(60)) + f" end{i}" for i in range(3)]
+    for group in range(4):
+        base = [f"g{group}x{k}" for k in range(70)]
+        for _ in range(12):
+            copy = list(base)
+            for _ in range(r.randint(1, 3)):
+                copy[r.randrange(70)] = str(r.random())
+            texts.append(" ".join(copy))
+    shingles = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    linked = lambda a, b: a is not b and 100 * len(a & b) >= 75 * len(a | b)
+    rows = spark.createDataFrame([*enumerate(texts), (900, texts[0]), (901, None)], "doc_id long, text string")
+    got = by_id(jaccard_join.join(rows, links=True))
+    wanted = {i: sum(linked(a, b) for b in shingles) for i, a in enumerate(shingles)}
+    assert wanted[0] == 2 and {i: got[i]["n_links"] for i in got} == {**wanted, 900: 2, 901: 0}
+    assert {i: x["component_id"] for i, x in by_id(jaccard_join.join(rows)).items()} == {i: x["component_id"] for i, x in got.items()}
+
+
 def test_one_of_each(spark, docs, none):
     kept = {r["doc_id"] for r in jaccard_join.one_of_each(docs).collect()}
     wanted = brute_join(corpus())
