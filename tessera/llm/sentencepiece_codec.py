@@ -1,11 +1,12 @@
 """SentencePiece encoding and decoding for merge-type (BPE) vocabularies.
 
-A text is cut where no piece of the vocabulary can reach across (before a run of spaces, around a line feed), so each
-chunk is merged by itself. A chunk is a row of symbols with an agenda of adjacent pairs that are pieces, ordered by score
-and then by place; the best pair is merged, its neighbours get new agenda entries, until the agenda is empty. All chunks
-of a batch that the worker has not met take each agenda step together, in numpy. Symbols that are no piece become byte
-pieces. Every chunk so encoded is checked against the sentencepiece library, and so is one whole text of each Arrow
-batch, its decoding included; a difference fails the task.
+A text is cut where no piece of the vocabulary can reach across: into chunks before a run of spaces and around a line
+feed, and those into parts between characters that no piece has side by side. Each part is merged by itself: a row of
+symbols, linked to their neighbours, with an agenda of adjacent pairs that make a piece, a heap ordered by score and then
+by place. The best pair is merged, its neighbours get new agenda entries, and entries whose symbols have changed are
+passed over, until the agenda is empty: n log n steps for n characters. Symbols that are no piece become byte pieces.
+Every chunk that the worker has not met is checked against the sentencepiece library, and so is one whole text of each
+Arrow batch, its decoding included; a difference fails the task.
 
 Defined results: a null or empty text has the begin and end ids only and decodes to the empty text; equal texts have
 equal ids; rows without doc_id are left out.
@@ -17,6 +18,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +29,12 @@ from .common import record, slices, texts
 SPACE = "▁"
 #: Chunks that a worker remembers at most; it starts anew beyond (speed only).
 REMEMBERED = 400_000
-#: Bytes of text whose new chunks are merged together: steps over more chunks cost less each.
-SLICE = 4 << 20
 ENCODED = "doc_id long, ids array<int>, decoded string"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 _DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+_PLACE = (1 << 32) - 1
 _codecs: dict[str, Codec] = {}
 
 
@@ -53,68 +54,91 @@ class Codec:
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids) or len(self.bytes) < 256:
             raise ValueError("this vocabulary has pieces that reach over a space or line feed, or lacks byte pieces")
         self.begin, self.end = sp.bos_id(), sp.eos_id()
-        # each pair of pieces that makes a piece, by the pair's number; characters that are no piece have numbers from n on
-        scores = {i: sp.get_score(i) for i in self.ids.values()}
-        rank = {s: k for k, s in enumerate(sorted(set(scores.values()), reverse=True))}
-        pairs = {}
-        for whole, i in self.ids.items():
-            for cut in range(1, len(whole)):
-                a, b = self.ids.get(whole[:cut]), self.ids.get(whole[cut:])
-                if a is not None and b is not None:
-                    pairs[a << 32 | b] = (i, rank[scores[i]])
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_made = np.array([pairs[k][0] for k in sorted(pairs)], np.int64)
-        self.pair_rank = np.array([pairs[k][1] for k in sorted(pairs)], np.int64)
+        # the agenda's order: pieces by falling score
+        scores = {p: sp.get_score(i) for p, i in self.ids.items()}
+        place = {s: k for k, s in enumerate(sorted(set(scores.values()), reverse=True))}
+        self.rank = {p: place[s] << 32 for p, s in scores.items()}
+        self.side_by_side = np.array(sorted({ord(p[k]) << 32 | ord(p[k + 1]) for p in self.ids for k in range(len(p) - 1)}), np.int64)
         self.known: dict[str, tuple[bytes, str]] = {}
 
     def normalised(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
-    def merged(self, chunks: list[str]) -> list[list[int]]:
-        """The symbols of each chunk when its agenda is empty: piece ids, or -1 - code point of characters that are none."""
-        points = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32).astype(np.int64)
-        seen, at = np.unique(points, return_inverse=True)
-        symbol = np.array([self.ids.get(chr(c), -1 - c) for c in seen], np.int64)[at]
-        owner = np.repeat(np.arange(len(chunks)), [len(c) for c in chunks])
-        out: list[list[int]] = [[] for _ in chunks]
-        while len(symbol):
-            key = np.where((owner[:-1] == owner[1:]) & (symbol[:-1] >= 0) & (symbol[1:] >= 0), symbol[:-1] << 32 | symbol[1:], -1)
-            place = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            hit = np.flatnonzero(self.pair_keys[place] == key)
-            # the first entry of each chunk's agenda: best score, then leftmost
-            order = hit[np.lexsort((hit, self.pair_rank[place[hit]], owner[hit]))]
-            top = order[np.flatnonzero(np.r_[True, owner[order][1:] != owner[order][:-1]])] if len(order) else order
-            busy = np.zeros(len(chunks), bool)
-            busy[owner[top]] = True
-            done = ~busy[owner]
-            if done.any():  # chunks whose agenda is empty leave
-                who, what = owner[done], symbol[done]
-                edges = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-                for w, part in zip(who[edges].tolist(), np.split(what, edges[1:]), strict=True):
-                    out[w] = part.tolist()
-            symbol[top] = self.pair_made[place[top]]
-            keep = ~done
-            keep[top + 1] = False
-            symbol, owner = symbol[keep], owner[keep]
-        return out
+    def parted(self, chunks: list[str]) -> Iterator[list[str]]:
+        """Each chunk in parts that no piece reaches across."""
+        whole = "\n".join(chunks)
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32).astype(np.int64)
+        pair = points[:-1] << 32 | points[1:]
+        near = self.side_by_side[np.minimum(np.searchsorted(self.side_by_side, pair), len(self.side_by_side) - 1)] == pair
+        cuts = [*(np.flatnonzero(~near) + 1).tolist(), len(whole)]
+        at, k = 0, 0
+        for chunk in chunks:
+            end, parts = at + len(chunk), []
+            while at < end:
+                parts.append(whole[at : min(cuts[k], end)])
+                at = min(cuts[k], end)
+                k += cuts[k] <= end
+            at += 1  # the line feed between them
+            while k < len(cuts) and cuts[k] <= at:
+                k += 1
+            yield parts
+
+    def merged(self, chunk: str) -> list[str]:
+        """The symbols of a chunk when its agenda is empty. An agenda entry is a number: the rank of the piece that two
+        neighbours make, then the place of the left one."""
+        rank = self.rank
+        agenda = [r + i for i in range(len(chunk) - 1) if (r := rank.get(chunk[i : i + 2])) is not None]
+        if not agenda:
+            return list(chunk)
+        symbol: list[str] = [*chunk, ""]  # the last one ends the chunk
+        n = len(chunk)
+        after, before = list(range(1, n + 2)), list(range(-1, n))
+        heapify(agenda)
+        while agenda:
+            entry = heappop(agenda)
+            i = entry & _PLACE
+            j = after[i]
+            made = symbol[i] + symbol[j]
+            if rank.get(made) != entry - i or not symbol[j] or not symbol[i]:
+                continue  # one of the two has changed since
+            symbol[i], symbol[j] = made, ""
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank.get(made + symbol[k])) is not None:
+                    heappush(agenda, r + i)
+            h = before[i]
+            if h >= 0 and (r := rank.get(symbol[h] + made)) is not None:
+                heappush(agenda, r + h)
+        return [s for s in symbol if s]
 
     def learn(self, chunks: set[str]) -> None:
         """Encodes and decodes chunks not met before, and holds each against the library."""
         if not chunks:
             return
         fresh = sorted(chunks)
-        # in the library a text gets one leading space, which a chunk that starts with a space already holds
-        checks = iter(self.library.encode([c[1:] for c in fresh if c[0] == SPACE and len(c) > 1], num_threads=1))
-        pieces, known = self.pieces, self.known
-        for chunk, ids in zip(fresh, self.merged(fresh), strict=True):
-            if plain := min(ids) >= 0:
-                text = "".join([pieces[i] for i in ids]).replace(SPACE, " ")
-            else:
-                ids = [i for s in ids for i in ([s] if s >= 0 else [self.bytes[b] for b in chr(-1 - s).encode()])]
-                text = self.decode(ids)
-            if chunk[0] == SPACE and len(chunk) > 1 and next(checks) != ids or plain and len(text) != len(chunk):
-                raise ValueError(f"the library encodes {chunk!r} differently")
-            known[chunk] = (array("I", ids).tobytes(), text)
+        # in the library a text gets one leading space, which most chunks hold already; others stand behind a line feed here,
+        # whose ids (of the leading space and of the line feed) come first
+        own = [c[0] == SPACE and len(c) > 1 for c in fresh]
+        checks = self.library.encode([c[1:] if o else "\n" + c for c, o in zip(fresh, own, strict=True)], num_threads=1)
+        head = array("I", self.library.encode("\n", num_threads=1)).tobytes()
+        known = self.known
+        for chunk, parts, o, told in zip(fresh, self.parted(fresh), own, checks, strict=True):
+            for part in parts:
+                if part not in known:
+                    known[part] = self.encoded(part)
+            if len(parts) > 1:
+                known[chunk] = b"".join([known[p][0] for p in parts]), "".join([known[p][1] for p in parts])
+            if array("I", told).tobytes() != (known[chunk][0] if o else head + known[chunk][0]):
+                raise ValueError(f"the library encodes {chunk[:80]!r} differently")
+
+    def encoded(self, part: str) -> tuple[bytes, str]:
+        symbols, ids = self.merged(part), self.ids
+        try:
+            return array("I", [ids[s] for s in symbols]).tobytes(), part.replace(SPACE, " ")
+        except KeyError:
+            made = [i for s in symbols for i in ([ids[s]] if s in ids else [self.bytes[b] for b in s.encode()])]
+            return array("I", made).tobytes(), self.decode(made)
 
     def decode(self, ids: list[int]) -> str:
         """Pieces joined, spaces restored, byte pieces read as UTF-8 (not the leading space's removal)."""
@@ -158,7 +182,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, ids (with begin and end) and the decoded text of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SLICE):
+        for batch in slices(batches, "text"):
             got = list(_each(batch, model))
             yield record(_ENCODED, doc_id=batch.column("doc_id"), ids=[np.frombuffer(i, "<u4").astype(np.int32) for i, _ in got], decoded=[d for _, d in got])
 
@@ -170,7 +194,7 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for batch in slices(batches, "text", SLICE):
+        for batch in slices(batches, "text"):
             got = [(len(i) // 4, sha(i), sha(d.encode())) for i, d in _each(batch, model)]
             n, ids, decoded = map(list, zip(*got, strict=True))
             yield record(_DIGESTS, doc_id=batch.column("doc_id"), n_tokens=n, ids_sha256=ids, decoded_sha256=decoded)
