@@ -1,41 +1,53 @@
 """Document fingerprints as invertible Bloom lookup sketches, by SQL functions only.
 
-A text's paragraphs are lines and groups of sentences, in shorter texts sentences, in short ones words. Where they are few
-(no line feeds or sentence ends), they are groups of words, then words, and pairs of letters for fewer than four words.
-Groups end after a part chosen by its hash, so that cuts depend on no script and an edit moves only those beside it.
-Paragraphs are digested to 48 bits and 16 bits that certify them. A sketch has three tables of cells; each digest is counted and XORed
-into one cell of each. Sketches of two versions subtract cell by cell, which leaves only differing digests; cells that
-hold a single digest give it away and are peeled, until nothing is left. Larger sets are split into strata by digest, each
-with a sketch of its own. If a stratum does not peel empty, it is tried again with sketches of twice and four times the
-cells, and at last by plain set difference. A fingerprint is the first sketch of the whole set as text; the likeness of
-two versions is the share of paragraphs that both have, from the digests that differ.
+A text is cut into units (runs of at most UNIT code points without white space; single characters in scripts that are
+written without spaces), and units into paragraphs, at every level: a paragraph of level L ends after each unit whose hash
+ends in L zero bits, so one of level 0 is a unit, and one of level L has about 2^L. This is the only rule, whatever the
+length or the script; an edit moves only the cuts beside it, and paragraphs of a level are groups of those below.
+
+A fingerprint holds the paragraph digests of all levels from the lowest that has about PARAGRAPHS of them up to that where
+the whole text is one. A digest has 48 bits, and 16 that certify them. The digests of a level are held in strata; each is a
+sketch of three tables of cells, and each digest is counted and XORed into one cell of each table. Sketches of two versions
+subtract cell by cell, which leaves only the digests that differ; cells that hold a single digest give it away and are
+peeled until nothing is left. A stratum that does not peel empty is tried again with sketches of twice the cells, and so on
+(from 128 cells by eights) until it does. The likeness of two fingerprints is the share of the digests of both, at the
+lowest level that both hold, that the other has too.
+
+compare() recovers all paragraph digests of one level in which two versions differ: their number is estimated from the
+fingerprints, and gives the number of strata.
 
 The next document is found without sorting all in one task: ids are cut into ordered buckets by quantiles, a window runs
-in each, and the last row of a bucket takes the first of the next one. One shuffle carries the texts.
+in each, and the last row of a bucket takes the first of the next one, which is found in the same way among the buckets.
+One shuffle carries the texts.
 
-Defined results: a null text is empty; an empty text has no paragraphs and is like another empty one (1.0); a single
-document is its own next; rows that repeat an id follow each other, ordered by a hash of their text; rows without id are
-left out; an empty table gives no rows.
+Defined results: a null text is empty; an empty text has no paragraphs and is like another empty one (1.0) and unlike any
+other (0.0); a single document is its own next; rows that repeat an id follow each other, ordered by a hash of their
+text; rows without id are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts
-
-#: Cells of each of the three tables of a first sketch; differing digests that a stratum should hold at most.
-CELLS, LOAD = 8, 10
-#: Rows of a bucket, and quantiles at most.
+from .common import stored, texts
+
+#: Code points of a unit at most.
+UNIT = 8
+#: Paragraphs of a fingerprint's lowest level: a lower one is taken where there are fewer than half, unless that has more
+#: than four times as many. Strata of a level; cells of each of the three tables of a first sketch.
+PARAGRAPHS, STRATA, CELLS = 16, 2, 8
+#: Differing digests that a stratum of compare() should hold.
+LOAD = 8
+#: Tables of up to 2^16 cells: then every digest has three cells of its own.
+LARGEST = 1 << 16
+#: Rounds of peeling before a larger sketch is tried.
+ROUNDS = 6
+#: Rows of a bucket, and quantiles of ids, and of the ids between two quantiles, at most.
 BUCKET, QUANTILES = 2000, 512
-#: Texts below these lengths (code points) have words, or lines and sentences, as paragraphs.
-SHORT, MIDDLE = 256, 2048
-#: The kinds: pairs of letters; lines and sentences; lines and groups of sentences; words. WORDS + k: groups of 2^k words.
-LETTERS, SENTENCES, PASSAGES, WORDS = 0, 1, 2, 10
-#: Fewer paragraphs (fewer words) than these are too few; groups have 2^k words in texts of 2^k times GROUPED code points.
-FEW, FEW_WORDS, GROUPED = 8, 4, 96.0
 _LOW = (1 << 48) - 1
+#: Thai, Lao, Myanmar, Khmer, kana, and CJK ideographs.
+_SCRIPTS = r"\\u0e00-\\u0eff\\u1000-\\u109f\\u1780-\\u17ff\\u3040-\\u30ff\\u3400-\\u9fff\\uf900-\\ufaff\\x{20000}-\\x{3ffff}"
 
 
 def let(name: str, value: str, body: str) -> str:
@@ -43,147 +55,229 @@ def let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def kind(text: str) -> str:
-    """How a text is cut by its length alone; see settled()."""
-    return f"CASE WHEN length({text}) < {SHORT} THEN {WORDS} WHEN length({text}) < {MIDDLE} THEN {SENTENCES} ELSE {PASSAGES} END"
-
-
-def grouped(parts: str, share: str) -> str:
-    """The hashes of groups of parts; a group ends after a part whose hash is divisible by share, or that ends a line."""
-    starts = f"filter(sequence(0, size(p) - 1), i -> i = 0 OR (xxhash64(get(p, i - 1)) & ({share} - 1)) = 0 OR endswith(get(p, i - 1), '\\n'))"
-    hashes = "transform(b, (s, j) -> xxhash64(slice(p, s + 1, coalesce(get(b, j + 1), size(p)) - s)))"
-    return let("p", f"filter({parts}, s -> s <> '')", f"IF(size(p) = 0, CAST(array() AS array<bigint>), {let('b', starts, hashes)})")
-
-
-def digests(text: str, kind: str) -> str:
-    """The distinct certified digests of a text's paragraphs."""
-    end = r"[.!?\u061f\u06d4\u0964]+\\s+|[\u3002\uff01\uff1f]+"
-    after = r"(?<=\\n)(?!\\n)|(?<=[.!?\u061f\u06d4\u0964] )|(?<=[\u3002\uff01\uff1f])"  # keeps what it cuts behind
-    # a character of a script without spaces is a word
-    word = r"\\s+|(?<=[\\u0e00-\\u0eff\\u1000-\\u109f\\u1780-\\u17ff\\u3040-\\u30ff\\u3400-\\u9fff\\uf900-\\ufaff])"
-    plain = lambda parts: f"transform(filter({parts}, s -> s <> ''), s -> xxhash64(s))"
-    letters = let("e", f"split({text}, '')", "transform(zip_with(e, slice(e, 2, size(e)), (x, y) -> concat(x, coalesce(y, ''))), s -> xxhash64(s))")
-    hashes = f"""CASE WHEN {kind} = {LETTERS} THEN {letters}
-      WHEN {kind} = {SENTENCES} THEN {plain(f"split({text}, '{end}|\\\\n+')")}
-      WHEN {kind} = {PASSAGES} THEN {grouped(f"split(concat({text}, '\\n'), '{after}')", "4")}
-      WHEN {kind} = {WORDS} THEN {plain(f"split({text}, '{word}')")}
-      ELSE {grouped(f"split({text}, '{word}')", f"shiftleft(1, {kind} - {WORDS})")} END"""
-    certified = let("h", f"x & {_LOW}L", "h | shiftleft(xxhash64(h) & 65535L, 48)")
-    return f"array_distinct(transform({hashes}, x -> {certified}))"
-
-
-def settled(text: str, kind: str, keys: str) -> str:
-    """The kind and the digests of a text, from those by its length: finer ones where these are few."""
-    pair = lambda k, d: f"named_struct('kind', {k}, 'keys', {d})"
-    letters = pair(LETTERS, digests(text, str(LETTERS)))
-    words = let("w", digests(text, str(WORDS)), f"IF(size(w) >= {FEW_WORDS}, {pair(WORDS, 'w')}, {letters})")
-    some = let("g", digests(text, "k"), f"IF(size(g) >= {FEW}, {pair('k', 'g')}, {words})")
-    some = let("k", f"{WORDS} + CAST(floor(log2(length({text}) / {GROUPED})) AS INT)", some)
-    return f"CASE WHEN size({keys}) >= IF({kind} = {WORDS}, {FEW_WORDS}, {FEW}) THEN {pair(kind, keys)} WHEN {kind} = {WORDS} THEN {letters} ELSE {some} END"
-
-
-def sketch(keys: str, cells: int) -> str:
-    """3 * cells cells: how many digests fall in, and their XOR."""
-    hits = f"filter({keys}, d -> (shiftright(d, 8 * (c DIV {cells})) & {cells - 1}L) = c % {cells})"
+def units(text: str) -> str:
+    """The hashes of a text's units."""
+    return f"transform(regexp_extract_all({text}, '[{_SCRIPTS}]|[^\\\\s{_SCRIPTS}]{{1,{UNIT}}}', 0), u -> xxhash64(u))"
+
+
+def starts(places: str, level: str) -> str:
+    """Those places where paragraphs of a level start, in the units h."""
+    return f"filter({places}, i -> i = 0 OR (get(h, i - 1) & (shiftleft(1L, {level}) - 1L)) = 0L)"
+
+
+def paragraphs(begin: str) -> str:
+    """The distinct digests of the paragraphs of h that begin at places."""
+    return f"array_distinct(transform({begin}, (s, j) -> xxhash64(slice(h, s + 1, coalesce(get({begin}, j + 1), size(h)) - s)) & {_LOW}L))"
+
+
+def certified(key: str, z: str) -> str:
+    """A digest with the lowest bits of its hash z above it."""
+    return f"{key} | shiftleft({z} & 65535L, 48)"
+
+
+def cut(text: str) -> str:
+    """A text's fingerprint before it is sketched: its lowest and its top level, and the certified digests of each level from
+    one to the other with their strata."""
+    all_of = "sequence(0, size(h) - 1)"
+    level = f"greatest(0, CAST(ceil(log2(size(h) / {float(PARAGRAPHS)})) AS INT))"
+    finer = let("f", starts(all_of, "l"), f"IF(size(f) > {4 * PARAGRAPHS}, s, named_struct('l', l, 'b', f))")
+    base = f"aggregate(sequence(first, 0, -1), named_struct('l', first, 'b', CAST(array() AS array<int>)), (s, l) -> IF(size(s.b) >= {PARAGRAPHS // 2}, s, {finer}))"
+    base = let("first", level, let("g", base, f"IF(size(g.b) > 0, g, named_struct('l', first, 'b', {starts(all_of, 'first')}))"))
+    # the top level is above the most zero bits that a unit between two paragraphs ends in
+    zeros = let("y", "get(h, i - 1)", "IF(y = 0L, 63, bit_count((y & -y) - 1L))")
+    top = f"aggregate(s.b, s.l, (x, i) -> IF(i = 0, x, greatest(x, least(62, {zeros}) + 1)))"
+    each = let("z", "xxhash64(x)", f"named_struct('t', CAST({STRATA} * l + pmod(shiftrightunsigned(z, 48), {STRATA}) AS INT), 'k', {certified('x', 'z')})")
+    keyed = f"flatten(transform(sequence(s.l, top), l -> {let('b', starts('s.b', 'l'), f'transform({paragraphs("b")}, x -> {each})')}))"
+    made = let("s", base, let("top", top, f"named_struct('level', s.l, 'top', top, 'keyed', {keyed})"))
+    none = "named_struct('level', 0, 'top', 0, 'keyed', CAST(array() AS array<struct<t: int, k: bigint>>))"
+    return let("h", units(text), f"IF(size(h) = 0, {none}, {made})")
+
+
+def place(key: str, table: int, cells: str) -> str:
+    return f"CAST({table} * {cells} + (shiftrightunsigned({key}, {16 * table}) & ({cells} - 1L)) AS INT)"
+
+
+def sketch(keys: str, cells: str) -> str:
+    """Three tables of cells: how many digests fall in each, and their XOR."""
+    hits = f"filter({keys}, d -> (shiftrightunsigned(d, 16 * CAST(c DIV {cells} AS INT)) & ({cells} - 1L)) = c % {cells})"
     cell = let("hits", hits, "named_struct('n', size(hits), 'k', aggregate(hits, 0L, (x, d) -> x ^ d))")
-    return f"transform(sequence(0L, {3 * cells - 1}L), c -> {cell})"
+    return f"transform(sequence(0L, 3 * {cells} - 1L), c -> {cell})"
+
+
+def first_sketch(keys: str) -> str:
+    """The same for CELLS cells, carried through the digests as a whole."""
+    zero = ", ".join(f"'n{c}', 0, 'k{c}', 0L" for c in range(CELLS))
+    add = ", ".join(f"'n{c}', IF(x = {c}L, s.n{c} + 1, s.n{c}), 'k{c}', IF(x = {c}L, s.k{c} ^ d, s.k{c})" for c in range(CELLS))
+    whole = ", ".join(f"named_struct('n', s.n{c}, 'k', s.k{c})" for c in range(CELLS))
+    step = let("x", f"shiftrightunsigned(d, 16 * table) & {CELLS - 1}L", f"named_struct({add})")
+    return f"flatten(transform(sequence(0, 2), table -> aggregate({keys}, named_struct({zero}), (s, d) -> {step}, s -> array({whole}))))"
+
+
+def of_stratum(keyed: str, t: str) -> str:
+    return f"transform(filter({keyed}, e -> e.t = {t}), e -> e.k)"
+
+
+def sketches(keyed: str) -> str:
+    """The first sketch of each stratum that holds any digest."""
+    strata = f"array_sort(array_distinct(transform({keyed}, e -> e.t)))"
+    return f"transform({strata}, t -> named_struct('t', t, 'cells', {let('w', of_stratum(keyed, 't'), first_sketch('w'))}))"
 
 
 def subtract(a: str, b: str) -> str:
     return f"zip_with({a}, {b}, (p, q) -> named_struct('n', p.n - q.n, 'k', p.k ^ q.k))"
 
 
-def peel(cells_of: str, cells: int, rounds: int = 24) -> str:
-    """The digests of a subtracted sketch, with 1 or -1 for the version that has them; null if it does not peel empty."""
-    at = f"(shiftright({{0}}, 8 * CAST({{1}} DIV {cells} AS INT)) & {cells - 1}L) = {{1}} % {cells}"
-    sure = f"abs(c.n) = 1 AND (shiftrightunsigned(c.k, 48) = (xxhash64(c.k & {_LOW}L) & 65535L)) AND {at.format('c.k', 'i')}"
+def peel(cells_of: str, cells: str) -> str:
+    """The digests of a subtracted sketch, with 1 or -1 for the version that has them; null if it does not peel empty in
+    ROUNDS rounds (each takes all digests that cells give away), which a larger sketch does."""
+    own = " OR ".join(f"i = {place('c.k', table, cells)}" for table in range(3))
+    sure = f"abs(c.n) = 1 AND (shiftrightunsigned(c.k, 48) = (xxhash64(c.k & {_LOW}L) & 65535L)) AND ({own})"
     single = f"array_distinct(filter(s.cells, (c, i) -> {sure}))"
-    hits = f"filter(one, p -> {at.format('p.k', 'i')})"
-    less = let("hits", hits, "named_struct('n', c.n - aggregate(hits, 0, (x, p) -> x + p.n), 'k', c.k ^ aggregate(hits, 0L, (x, p) -> x ^ p.k))")
-    step = let("one", single, f"IF(size(one) = 0, named_struct('cells', s.cells, 'found', s.found, 'live', false), named_struct('cells', transform(s.cells, (c, i) -> {less}), 'found', concat(s.found, one), 'live', true))")
+    places = ", ".join(place("p.k", table, cells) for table in range(3))
+    less = let("at", f"array({places})", "transform(cs, (c, i) -> IF(array_contains(at, i), named_struct('n', c.n - p.n, 'k', c.k ^ p.k), c))")
+    step = let("one", single, f"IF(size(one) = 0, named_struct('cells', s.cells, 'found', s.found, 'live', false), named_struct('cells', aggregate(one, s.cells, (cs, p) -> {less}), 'found', concat(s.found, one), 'live', true))")
     begin = f"named_struct('cells', {cells_of}, 'found', CAST(array() AS array<struct<n: int, k: bigint>>), 'live', true)"
-    return f"aggregate(sequence(1, {rounds}), {begin}, (s, r) -> IF(s.live, {step}, s), s -> IF(forall(s.cells, c -> c.n = 0 AND c.k = 0L), s.found, NULL))"
+    return f"aggregate(sequence(1, {ROUNDS}), {begin}, (s, r) -> IF(s.live, {step}, s), s -> IF(forall(s.cells, c -> c.n = 0 AND c.k = 0L), s.found, NULL))"
+
+
+def peeled(u: str, v: str, published: str | None = None) -> str:
+    """The digests that differ between two arrays: what peels off their subtracted sketches (the published ones first, if
+    given), of CELLS cells a table, then of more and more. One expression serves all sizes: each task has to build it."""
+    first = subtract(sketch(u, "m"), sketch(v, "m"))
+    if published is not None:
+        first = f"IF(m = {CELLS}, {published}, {first})"
+    sizes, m = [], CELLS
+    while m <= LARGEST:
+        sizes.append(f"{m}L")
+        m *= 2 if m < 128 else 8
+    tries = f"aggregate(array({', '.join(sizes)}), CAST(NULL AS array<struct<n: int, k: bigint>>), (got, m) -> coalesce(got, {peel(first, 'm')}))"
+    return f"coalesce({tries}, array(raise_error('a sketch does not peel')))"
 
 
-def difference(a: str, b: str) -> str:
-    """The digests that only one of two sets has, by sketches."""
-    plain = "concat(transform(array_except(u, v), k -> named_struct('n', 1, 'k', k)), transform(array_except(v, u), k -> named_struct('n', -1, 'k', k)))"
-    tries = [peel(subtract(sketch("u", m), sketch("v", m)), m) for m in (CELLS, 2 * CELLS, 4 * CELLS)]
-    found = f"coalesce({', '.join(tries)}, {plain})"
-    part = "filter({}, d -> pmod(shiftright(d & " + str(_LOW) + "L, 24), g) = t)"
-    found = let("u", part.format(a), let("v", part.format(b), found))
-    strata = f"greatest(1, CAST(ceil((size({a}) + size({b})) / {LOAD}.0) AS INT))"
-    return let("g", strata, f"flatten(transform(sequence(0, g - 1), t -> {found}))")
+def common(a: str, b: str) -> str:
+    """The stratum of part 0 of each of two fingerprints at the lowest level of both (the top one stands for those above)."""
+    level = f"greatest({a}.level, {b}.level)"
+    return f"named_struct('a', {STRATA} * least({level}, {a}.top), 'b', {STRATA} * least({level}, {b}.top))"
+
+
+def difference(a: str, b: str, cells_a: str, cells_b: str) -> str:
+    """The digests that only one of two fingerprints holds at the lowest level of both: their published sketches peeled, then
+    larger ones where these fail."""
+    none = f"transform(sequence(1, {3 * CELLS}), c -> named_struct('n', 0, 'k', 0L))"
+    cells = lambda side, t: f"coalesce(get(filter({side}, e -> e.t = {t} + part), 0).cells, {none})"
+    u, v = of_stratum(f"{a}.keyed", "at.a + part"), of_stratum(f"{b}.keyed", "at.b + part")
+    found = let("p", cells(cells_a, "at.a"), let("q", cells(cells_b, "at.b"), f"IF(p = q, CAST(array() AS array<struct<n: int, k: bigint>>), {let('u', u, let('v', v, peeled('u', 'v', subtract('p', 'q'))))})"))
+    return let("at", common(a, b), f"flatten(transform(sequence(0, {STRATA - 1}), part -> {found}))")
 
 
 def likeness(a: str, b: str, gone: str) -> str:
-    """The share of digests in both of two sets, from how many only one has."""
-    return f"IF(size({a}) + size({b}) = 0, 1.0D, CAST(size({a}) + size({b}) - size({gone}) AS DOUBLE) / (size({a}) + size({b}) + size({gone})))"
+    """The share of the digests that two fingerprints hold at the lowest level of both which the other holds too."""
+    held = lambda side, t: f"size(filter({side}.keyed, e -> e.t >= {t} AND e.t < {t} + {STRATA}))"
+    both = let("at", common(a, b), f"{held(a, 'at.a')} + {held(b, 'at.b')}")
+    return let("o", both, f"IF(o = 0, 1.0D, CAST(o - size({gone}) AS DOUBLE) / o)")
+
 
+def written(made: str, cells: str) -> str:
+    """A fingerprint as text: its levels, and each stratum's cells that hold any digest, with place, count and XOR."""
+    cell = "concat(i, '.', c.n, '.', lower(hex(c.k)))"
+    some = f"filter(transform(e.cells, (c, i) -> IF(c.n = 0, '', {cell})), x -> x <> '')"
+    return f"concat({made}.level, '-', {made}.top, ':', array_join(transform({cells}, e -> concat(e.t, '=', array_join({some}, ','))), ' '))"
 
-def written(keys: str, kind: str) -> str:
-    cells = f"transform({sketch(keys, CELLS)}, c -> concat(CAST(c.n AS STRING), '.', lower(hex(c.k))))"
-    return f"concat({kind}, ':', size({keys}), ':', array_join({cells}, ' '))"
 
+def _among(bounds: Column, value: Column) -> Column:
+    """How many of the bounds are not above the value; 1 at least."""
+    return F.greatest(F.lit(1), F.size(F.filter(bounds, lambda b: b <= value)))
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text and next_text: the text of the next id, of the first after the last."""
-    rows = texts(docs).withColumn("tie", F.xxhash64("text"))
+
+def _bucketed(rows: DataFrame) -> DataFrame:
+    """rows with bucket: numbers that rise with doc_id. Quantiles of ids make buckets; where these would be too large, each
+    is cut by the quantiles of its own ids. Both tables of bounds are of a fixed size at most."""
     n = rows.count()
     quantiles = max(1, min(QUANTILES, n // BUCKET))
-    fine = max(1, n // (quantiles * BUCKET))
-    bounds = sorted(set(rows.approxQuantile("doc_id", [i / quantiles for i in range(quantiles + 1)], 1 / (4 * quantiles)))) if n else []
-    ids = [int(b) for b in bounds] or [0]
-    below = F.greatest(F.lit(1), F.size(F.filter(F.array(*map(F.lit, ids)).cast("array<bigint>"), lambda b: b <= F.col("doc_id"))))
-    low = F.element_at(F.array(*map(F.lit, ids)).cast("array<bigint>"), F.col("q"))
-    high = F.element_at(F.array(*map(F.lit, [*ids[1:], ids[-1] + 1])).cast("array<bigint>"), F.col("q"))
-    share = F.floor((F.col("doc_id") - low).cast("double") / (high - low) * fine)
-    rows = rows.withColumn("q", below).withColumn("bucket", F.col("q").cast("long") * fine + F.least(F.greatest(share, F.lit(0)), F.lit(fine - 1))).drop("q")
-    first = rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "tie")).alias("first"))
-    along = Window.orderBy("bucket")  # one row per bucket
-    after = first.select("bucket", F.coalesce(F.lead("first").over(along), F.first("first").over(along)).alias("after"))
-    heads = rows.join(F.broadcast(first.select("first.*")), ["doc_id", "tie"]).dropDuplicates(["doc_id", "tie"]).select(F.struct("doc_id", "tie").alias("after"), F.col("text").alias("over_text"))
-    over = after.join(heads, "after").select("bucket", "over_text")
-    lead = F.lead("text").over(Window.partitionBy("bucket").orderBy("doc_id", "tie"))
-    return rows.withColumn("next_text", lead).join(over, "bucket").select("doc_id", "text", F.coalesce("next_text", "over_text").alias("next_text"))
+    bounds = sorted({int(b) for b in rows.approxQuantile("doc_id", [i / quantiles for i in range(quantiles + 1)], 1 / (4 * quantiles))}) if n else []
+    rows = rows.withColumn("bucket", _among(F.array(*map(F.lit, bounds or [0])).cast("array<bigint>"), F.col("doc_id")).cast("long"))
+    fine = min(QUANTILES, n // (quantiles * BUCKET))
+    if fine <= 1:
+        return rows
+    inner = rows.groupBy("bucket").agg(F.percentile_approx("doc_id", [i / fine for i in range(fine)], 4 * fine).alias("inner"))
+    within = _among(F.col("inner"), F.col("doc_id"))
+    return rows.join(F.broadcast(inner), "bucket").withColumn("bucket", F.col("bucket") * (fine + 1) + within).drop("inner")
+
+
+def _after(heads: DataFrame, width: int) -> DataFrame:
+    """heads(bucket, first) with after: the first of the next bucket, of the first one after the last. Buckets in groups of
+    `width` numbers have a window each; the last of a group takes the first of the next group."""
+    heads = heads.withColumn("part", F.expr(f"bucket DIV {width}"))
+    lead = F.lead("first").over(Window.partitionBy("part").orderBy("bucket"))
+    parts = heads.groupBy("part").agg(F.min(F.struct("bucket", "first")).alias("least")).select(F.col("part").alias("bucket"), F.col("least.first").alias("first"))
+    if parts.count() > 1:
+        ahead = _after(stored(parts, "heads"), width)
+    else:
+        ahead = parts.withColumn("after", F.col("first"))
+    ahead = ahead.select(F.col("bucket").alias("part"), F.col("after").alias("over"))
+    return heads.withColumn("after", lead).join(ahead, "part").select("bucket", "first", F.coalesce("after", "over").alias("after"))
+
+
+def with_next(docs: DataFrame, made: str | None = None) -> DataFrame:
+    """doc_id, text and next_text: the text of the next id, of the first after the last; with `made`, an expression of text,
+    also its value for both, as own and other."""
+    rows = _bucketed(texts(docs).withColumn("tie", F.xxhash64("text")))
+    heads = stored(rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "tie", "text")).alias("first")), "heads")
+    over = _after(heads, BUCKET).select("bucket", F.col("after.text").alias("over_text"))
+    along = Window.partitionBy("bucket").orderBy("doc_id", "tie")
+    names = ["text"]
+    if made is not None:
+        over = over.withColumn("over_own", F.expr(made.replace("text", "over_text")))
+        rows = rows.repartition("bucket").withColumn("own", F.expr(made))
+        names.append("own")
+    rows = rows.withColumns({f"next_{c}": F.lead(c).over(along) for c in names}).join(over, "bucket")
+    rows = rows.withColumns({f"next_{c}": F.coalesce(f"next_{c}", f"over_{c}") for c in names})
+    return rows.select("doc_id", "text", "next_text", *([] if made is None else ["own", F.col("next_own").alias("other")]))
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint of every text."""
-    rows = _cut(texts(docs), "text", "cut")
-    return rows.select("doc_id", F.expr(written("cut.keys", "cut.kind")).alias("fingerprint"))
+    rows = texts(docs).withColumn("made", F.expr(cut("text"))).withColumn("cells", F.expr(sketches("made.keyed")))
+    return rows.select("doc_id", F.expr(written("made", "cells")).alias("fingerprint"))
 
 
-def _cut(rows: DataFrame, text: str, name: str) -> DataFrame:
-    """rows with the kind and the digests of a text."""
-    rows = rows.withColumn("by_length", F.expr(kind(text))).withColumn("first", F.expr(digests(text, "by_length")))
-    return rows.withColumn(name, F.expr(settled(text, "by_length", "first"))).drop("by_length", "first")
+def compare(versions: DataFrame, level: int = 2) -> DataFrame:
+    """versions(old_text, new_text, ...) with the paragraph digests of a level that differ (n: 1 if only the old text has it,
+    -1 if only the new one; k: the digest) and the likeness, the share of all digests of both that the other has too."""
+    rows = versions.withColumns({"old_text": F.coalesce("old_text", F.lit("")), "new_text": F.coalesce("new_text", F.lit(""))})
+    rows = rows.withColumns({"__a": F.expr(cut("old_text")), "__b": F.expr(cut("new_text"))})
+    rows = rows.withColumns({"__p": F.expr(sketches("__a.keyed")), "__q": F.expr(sketches("__b.keyed"))})
+    # the fingerprints tell about how many digests differ, which gives the strata; each is then a slice of all digests by stratum
+    guess = f"size({difference('__a', '__b', '__p', '__q')}) * pow(2.0D, greatest(0, greatest(__a.level, __b.level) - {level}))"
+    rows = rows.withColumn("__g", F.expr(f"greatest(1, CAST(least(1e9D, ceil(({guess}) / {LOAD}.0D)) AS INT))"))
+    keyed = let("z", "xxhash64(k)", f"named_struct('t', CAST(pmod(z, __g) AS INT), 'n', {{}}, 'k', {certified('k', 'z')})")
 
+    def side(text: str, n: int) -> str:
+        found = let("h", units(text), f"IF(size(h) = 0, CAST(array() AS array<bigint>), {let('b', starts('sequence(0, size(h) - 1)', str(level)), paragraphs('b'))})")
+        return f"transform({found}, k -> {keyed.format(n)})"
 
-def compare(versions: DataFrame) -> DataFrame:
-    """versions(doc_id, old_text, new_text) with the paragraph digests that differ (n: 1 if only the old text has it, -1
-    if only the new one; k: the digest) and the likeness."""
-    rows = versions.withColumns({"old_text": F.coalesce("old_text", F.lit("")), "new_text": F.coalesce("new_text", F.lit(""))})
-    rows = _cut(rows, "old_text", "cut").withColumns({"old": F.expr("cut.keys"), "kind": F.expr("cut.kind")})
-    rows = rows.withColumn("new", F.expr(digests("new_text", "kind")))
-    rows = rows.withColumn("differing", F.expr(difference("old", "new")))
-    return rows.withColumn("likeness", F.expr(likeness("old", "new", "differing"))).drop("cut", "kind", "old", "new")
+    rows = rows.withColumn("__all", F.expr(f"array_sort(concat({side('old_text', 1)}, {side('new_text', -1)}))"))
+    rows = rows.withColumn("__at", F.expr("IF(size(__all) = 0, CAST(array() AS array<int>), filter(sequence(1, size(__all)), i -> i = 1 OR get(__all, i - 1).t <> get(__all, i - 2).t))"))
+    part = let("w", "slice(__all, s, coalesce(get(__at, j + 1), size(__all) + 1) - s)", let("u", "transform(filter(w, e -> e.n = 1), e -> e.k)", let("v", "transform(filter(w, e -> e.n = -1), e -> e.k)", peeled("u", "v"))))
+    rows = rows.withColumn("differing", F.expr(f"flatten(transform(__at, (s, j) -> {part}))"))
+    rows = rows.withColumn("likeness", F.expr("IF(size(__all) = 0, 1.0D, CAST(size(__all) - size(differing) AS DOUBLE) / size(__all))"))
+    return rows.drop("__a", "__b", "__p", "__q", "__g", "__all", "__at")
 
 
 def edited_and_next(docs: DataFrame) -> DataFrame:
     """The contract's rows."""
     half = "CAST(floor(n_chars / 2) AS INT)"
-    rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
+    rows = with_next(docs, cut("text")).withColumn("n_chars", F.length("text").cast("long"))
     rows = rows.withColumn("edited", F.expr(f"concat(substring(text, 1, CAST(n_chars AS INT) - {half}), substring(next_text, 1, {half}))"))
-    rows = _cut(rows, "text", "cut").withColumns({"own": F.expr("cut.keys"), "kind": F.expr("cut.kind")})
-    rows = rows.withColumns({"new": F.expr(digests("edited", "kind")), "other": F.expr(digests("next_text", "kind")), "by_length": F.expr(kind("edited")), "edited_sha256": F.sha2(F.col("edited").cast("binary"), 256)})
-    rows = rows.withColumn("first", F.expr(f"IF(by_length = kind, new, {digests('edited', 'by_length')})"))
-    rows = rows.withColumn("edited_cut", F.expr(settled("edited", "by_length", "first"))).withColumns({"new_own": F.expr("edited_cut.keys"), "edited_kind": F.expr("edited_cut.kind")})
-    rows = rows.withColumns({"gone": F.expr(difference("own", "new")), "apart": F.expr(difference("own", "other"))})
+    rows = rows.withColumns({"new": F.expr(cut("edited")), "edited_sha256": F.sha2(F.col("edited").cast("binary"), 256)}).drop("text", "edited", "next_text")
+    rows = rows.withColumns({f"{c}_cells": F.expr(sketches(f"{c}.keyed")) for c in ("own", "new", "other")})
+    versions = "array(named_struct('f', new, 'c', new_cells), named_struct('f', other, 'c', other_cells))"
+    near = likeness("own", "w.f", difference("own", "w.f", "own_cells", "w.c"))
+    rows = rows.withColumn("near", F.expr(f"transform({versions}, w -> {near})"))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256",
-        F.expr(written("own", "kind")).alias("fingerprint"),
-        F.expr(written("new_own", "edited_kind")).alias("edited_fingerprint"),
-        F.expr(likeness("own", "new", "gone")).alias("near_edited"),
-        F.expr(likeness("own", "other", "apart")).alias("near_next"),
+        F.expr(written("own", "own_cells")).alias("fingerprint"),
+        F.expr(written("new", "new_cells")).alias("edited_fingerprint"),
+        F.col("near")[0].alias("near_edited"),
+        F.col("near")[1].alias("near_next"),
     )
