@@ -15,7 +15,7 @@ BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text").where("doc_id is not null"))
-    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", "longest")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,18 +60,28 @@ _NUMBERS = ", ".join("(" + " + ".join(f"(instr('0123456789abcdef', substr(h, {5
 
 _WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
+#: Windows of twice the length whose halves repeat, and which repeat themselves; 71,680 words are more than any text of the
+#: checked table has.
+_LEVELS = "\n".join(
+    f"r{k} as (select doc_id, i, h from (select *, count(*) over (partition by h) as c from (select a.doc_id, a.i, hash(a.h, b.h) as h "
+    f"from r{k - 1} a join r{k - 1} b on a.doc_id = b.doc_id and b.i = a.i + {35 << k - 1})) where c > 1),"
+    for k in range(1, 12)
+)
+
 SQL = {
     "op1_substring_dedup": f"""
 with d as (select doc_id, {_WORDS.format("coalesce(text, '')")} as w from documents where doc_id is not null),
 s as (select doc_id, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35),
 g as (select s.doc_id, s.i, hash(array_to_string(d.w[s.i:s.i + 34], ' ')) as h from s join d using (doc_id)),
-r as (select doc_id, i from (select *, count(*) over (partition by h) as c from g) where c > 1),
-x as (select distinct doc_id, unnest(range(i, i + 35)) as p from r),
+r0 as (select doc_id, i, h from (select *, count(*) over (partition by h) as c from g) where c > 1),
+{_LEVELS}
+l as (select doc_id, max(size) as longest from ({" union all ".join(f"select distinct doc_id, {35 << k} as size from r{k}" for k in range(12))}) group by 1),
+x as (select distinct doc_id, unnest(range(i, i + 35)) as p from r0),
 g2 as (select doc_id, list(p) as gone from x group by 1),
-k as (select d.doc_id, d.w, coalesce(g2.gone, []) as gone from d left join g2 using (doc_id)),
-m as (select doc_id, w, gone, list_filter(range(1, len(w) + 1), lambda p: not list_contains(gone, p)) as stay from k)
+k as (select d.doc_id, d.w, coalesce(g2.gone, []) as gone, coalesce(l.longest, 0)::bigint as longest from d left join g2 using (doc_id) left join l using (doc_id)),
+m as (select doc_id, w, gone, longest, list_filter(range(1, len(w) + 1), lambda p: not list_contains(gone, p)) as stay from k)
 select doc_id, len(w)::bigint as n_words, len(gone)::bigint as n_removed,
-  sha256(array_to_string(list_transform(stay, lambda p: w[p]), ' ')) as kept_sha256 from m""",
+  sha256(array_to_string(list_transform(stay, lambda p: w[p]), ' ')) as kept_sha256, longest from m""",
     "op2_jaccard_join": f"""
 with recursive d as (select doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents where doc_id is not null),
 s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]

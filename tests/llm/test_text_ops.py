@@ -72,24 +72,57 @@ def brute_dedup(rows, window=35):
     return out
 
 
+def brute_longest(rows, window=35):
+    """The greatest of window, twice that, ... at which a window of the row repeats."""
+    parts, out, size = [WORD.findall(t or "") for _, t, *_ in rows], [0] * len(rows), window
+    while True:
+        seen = Counter(tuple(w[k : k + size]) for w in parts for k in range(len(w) - size + 1))
+        hit = [any(seen[tuple(w[k : k + size])] > 1 for k in range(len(w) - size + 1)) for w in parts]
+        if not any(hit):
+            return {r[0]: x for r, x in zip(rows, out, strict=True)}
+        out, size = [size if h else x for h, x in zip(hit, out, strict=True)], 2 * size
+
+
 @pytest.mark.parametrize("window", [35, 8, 1])
 def test_substring_dedup(docs, window):
-    got = {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in by_id(substring_dedup.dedup(docs, window)).items()}
-    assert got == brute_dedup(corpus(), window)
+    found = by_id(substring_dedup.dedup(docs, window))
+    assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in found.items()} == brute_dedup(corpus(), window)
+    if window > 1:
+        assert {i: r["longest"] for i, r in found.items()} == brute_longest(corpus(), window)
+
+
+def test_substring_dedup_levels(spark, monkeypatch):
+    """A repeat of 300 words goes through 35, 70, 140 and 280 words, and the loop ends one level later."""
+    r = random.Random(11)
+    word = lambda n: [str(r.random()) for _ in range(n)]
+    long, short = word(300), word(100)
+    rows = [(1, " ".join(word(20) + long + word(9))), (2, " ".join(long + word(50))), (3, " ".join(short + word(40))), (4, " ".join(word(3) + short)), (5, " ".join(word(400))), (6, "x " * 90)]
+    seen = []
+    plain = substring_dedup.level
+    monkeypatch.setattr(substring_dedup, "level", lambda rows, window, body: seen.append(window) or plain(rows, window, body))
+    got = by_id(substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert seen == [35, 70, 140, 280, 560]
+    assert {i: x["longest"] for i, x in got.items()} == {1: 280, 2: 280, 3: 70, 4: 70, 5: 0, 6: 70} == brute_longest(rows)
 
 
 def test_substring_dedup_counts_across_held_groups(docs, monkeypatch):
     out = substring_dedup.dedup(docs.repartition(1))
     monkeypatch.setattr(substring_dedup, "HELD", 50)
-    assert {i: r["kept_sha256"] for i, r in by_id(out).items()} == {i: v[2] for i, v in brute_dedup(corpus()).items()}
+    found = by_id(out)
+    assert {i: r["kept_sha256"] for i, r in found.items()} == {i: v[2] for i, v in brute_dedup(corpus()).items()}
 
 
 def test_substring_dedup_keeps_rows(spark, docs, none):
     out = substring_dedup.dedup(docs)
-    assert out.columns == [*docs.columns, "n_words", "n_removed", "kept_sha256"] and out.count() == docs.count()
+    assert out.columns == [*docs.columns, "n_words", "n_removed", "kept_sha256", "longest"] and out.count() == docs.count()
+    assert substring_dedup.dedup(docs, levels=False).columns == out.columns[:-1]
     assert substring_dedup.dedup(none).count() == 0
     same = spark.createDataFrame([(1, "w " * 40)] * 2 + [(None, "w2 " * 3)], "doc_id long, text string")
     assert sorted(r["n_removed"] for r in substring_dedup.dedup(same).collect()) == [0, 40, 40]
+    # names that the operator uses within
+    odd = spark.createDataFrame([(1, "w " * 40, 5, 6, "s")], "doc_id long, text string, uid_ long, SPANS_ long, segments_ string")
+    row = substring_dedup.dedup(odd).first()
+    assert (row["n_removed"], row["uid_"], row["SPANS_"], row["segments_"], row["longest"]) == (40, 5, 6, "s", 35)
 
 
 def brute_join(rows, percent=75):
