@@ -1,15 +1,17 @@
 """WARC archives: writing captures, and reading them back by transaction assembly.
 
 A capture is three records. The response (or revisit) record is named by its id; the request and metadata
-records point at it with WARC-Concurrent-To. Reading parses every record by its Content-Length, then joins the
-three by that identifier into one nested row per capture.
+records point at it with WARC-Concurrent-To, and a revisit names its response with WARC-Refers-To. Reading parses every
+record by its Content-Length, then joins the three by that identifier into one nested row per capture.
 
-Files are WARC 1.1 written by Spark's own text writer (a record a row, CRLF CRLF as the separator, gzip), so they
-land in whatever store Spark writes to.
+Files are WARC 1.1, a gzip member a record, of at most about FILE_BYTES bytes or one record. A task makes up a file's
+bytes, and Spark's own text writer puts them down, one row a file, so they land in whatever store Spark writes to; the
+line separator it adds is an empty gzip member. Files are read member by member.
 
-Defined results: a null html is an empty payload; a null url is an empty target; rows without page_id are left out;
-rows equal in page_id, url and html are one capture; an empty table gives an archive without records, and no rows.
-A record that lacks its request or metadata still gives a row, with nulls there.
+Defined results: a null html is an empty payload; a null url is an empty target; rows without page_id are left out; every
+other row is a capture: of rows equal in page_id and payload one is the response, the others revisit it; an empty table
+gives an archive without records, and no rows. A record that lacks its request or metadata still gives a row, with nulls
+there.
 """
 
 from __future__ import annotations
@@ -18,17 +20,21 @@ import base64
 import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, record, stored
 
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-#: Records in one file at most; three for each capture.
-RECORDS_PER_FILE = 3000
+#: Compressed bytes of a file, about; it ends with the record that reaches them.
+FILE_BYTES = 16 << 20
+#: Bytes of records that the reader hands on at once, about.
+BATCH_BYTES = 4 << 20
+_NOTHING = gzip.compress(b"", mtime=0)
 RECORD = "record_id string, record_type string, concurrent_to string, refers_to string, target string, payload_digest string, http_head string, payload_bytes long, payload binary, fields map<string,string>"
 _SCHEMA = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("concurrent_to", pa.string()), ("refers_to", pa.string()), ("target", pa.string()), ("payload_digest", pa.string()), ("http_head", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("fields", pa.map_(pa.string(), pa.string()))])
 
@@ -37,28 +43,30 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _name(page_id: int, url: str, digest: str, role: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id} {url} {digest} {role}')}>"
+def _name(page_id: int, digest: str, nth: int, role: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id} {digest} {nth} {role}')}>"
 
 
 def _one_line(url: str) -> str:
     return "".join(c for c in url if c >= " ")
 
 
-def _record(kind: str, name: str, block: str, date: str, content_type: str, **headers: str | None) -> str:
+def _record(kind: str, name: str, block: bytes, date: str, content_type: str, **headers: str | None) -> bytes:
+    """A record as a gzip member."""
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", f"WARC-Date: {date}", f"Content-Type: {content_type}"]
     lines += [f"{k.replace('_', '-')}: {v}" for k, v in headers.items() if v is not None]
-    return "\r\n".join([*lines, f"Content-Length: {len(block.encode())}", "", block])
+    head = "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""])
+    return gzip.compress(head.encode() + block + b"\r\n\r\n", 6, mtime=0)
 
 
 def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id and refers_to of the rows whose payload, of at least `least_bytes` bytes, a smaller page_id has too."""
+    """page_id, digest and refers_to of the rows whose payload, of at least `least_bytes` bytes, a smaller page_id has too."""
     keyed = stored(pages.where(F.octet_length("html") >= least_bytes).select("page_id", F.sha1("html").alias("digest")), "warc-digests")
-    first = stored(keyed.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-first")
-    return keyed.join(first, "digest").where("page_id > refers_to").groupBy("page_id").agg(F.min("refers_to").alias("refers_to"))
+    first = stored(keyed.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to").drop("last"), "warc-first")
+    return keyed.join(first, "digest").where("page_id > refers_to").groupBy("page_id", "digest").agg(F.min("refers_to").alias("refers_to"))
 
 
-def write_archive(pages: DataFrame, path: str | None = None, date: str = "2024-01-01T00:00:00Z", least_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE) -> str:
+def write_archive(pages: DataFrame, path: str | None = None, date: str = "2024-01-01T00:00:00Z", least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> str:
     """Writes pages(page_id, url, html) as WARC files; returns the folder. Later copies of a payload of at least
     `least_bytes` bytes become revisit records of the smallest page_id."""
     spark = pages.sparkSession
@@ -66,41 +74,82 @@ def write_archive(pages: DataFrame, path: str | None = None, date: str = "2024-0
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")).where("page_id is not null")
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file: list[bytes] = []
+        size = 0
         for batch in batches:
-            out = []
-            for page_id, url, html, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
+            for page_id, url, html, refers, nth in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to", "nth")), strict=True):
                 payload = html.encode()
                 url, digest = _one_line(url), sha1_base32(payload)
-                name = _name(page_id, url, digest, "capture")
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
+                name = _name(page_id, digest, nth, "capture")
+                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
                 common = {"WARC_Target_URI": url, "date": date}
+                if refers is None and nth > 1 and len(payload) >= least_bytes:
+                    refers = page_id
                 if refers is None:
-                    out.append(_record("response", name, head + html, content_type="application/http; msgtype=response", WARC_Payload_Digest=f"sha1:{digest}", **common))
+                    made = [_record("response", name, head + payload, content_type="application/http; msgtype=response", WARC_Payload_Digest=f"sha1:{digest}", **common)]
                 else:
-                    out.append(_record("revisit", name, head, content_type="application/http; msgtype=response", WARC_Payload_Digest=f"sha1:{digest}", WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", **common))
-                out.append(_record("request", _name(page_id, url, digest, "request"), "GET / HTTP/1.1\r\nUser-Agent: tessera\r\n\r\n", content_type="application/http; msgtype=request", WARC_Concurrent_To=name, **common))
-                notes = f"page_id: {page_id}\r\n" + (f"refers_to_page: {refers}\r\n" if refers is not None else "")
-                out.append(_record("metadata", _name(page_id, url, digest, "metadata"), notes, content_type="application/warc-fields", WARC_Concurrent_To=name, **common))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
-
-    rows = pages.join(revisits(pages, least_bytes), "page_id", "left").mapInArrow(render, "value string")
-    rows.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+                    made = [_record("revisit", name, head, content_type="application/http; msgtype=response", WARC_Payload_Digest=f"sha1:{digest}", WARC_Refers_To=_name(refers, digest, 1, "capture"), WARC_Refers_To_Date=date, WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", **common)]
+                made.append(_record("request", _name(page_id, digest, nth, "request"), b"GET / HTTP/1.1\r\nUser-Agent: tessera\r\n\r\n", content_type="application/http; msgtype=request", WARC_Concurrent_To=name, **common))
+                made.append(_record("metadata", _name(page_id, digest, nth, "metadata"), f"page_id: {page_id}\r\n".encode(), content_type="application/warc-fields", WARC_Concurrent_To=name, **common))
+                file += made
+                size += sum(map(len, made))
+                if size >= file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(file)], pa.binary())], ["value"])
+                    file, size = [], 0
+        if file:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(file)], pa.binary())], ["value"])
+
+    nth = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url"))
+    rows = pages.withColumn("digest", F.sha1("html")).join(revisits(pages, least_bytes), ["page_id", "digest"], "left").withColumn("nth", nth)
+    files = rows.mapInArrow(render, "value binary").select(F.col("value").cast("string").alias("value"))
+    files.write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", _NOTHING.decode("latin-1")).text(path)
     return path
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of one archive file."""
-    at = 0
+def unzipped(data: memoryview, step: int = 1 << 16) -> Iterator[bytes]:
+    """The bytes of gzip members, a piece at a time; plain bytes as they are."""
+    if bytes(data[:2]) != b"\x1f\x8b":
+        yield from (bytes(data[at : at + step]) for at in range(0, len(data), step))
+        return
+    at, member = 0, zlib.decompressobj(31)
     while at < len(data):
-        if data[at : at + 5] != b"WARC/":
-            raise ValueError(f"no WARC record at byte {at}")
-        end = data.index(b"\r\n\r\n", at)
-        headers = dict(line.split(": ", 1) for line in data[at:end].decode().split("\r\n")[1:])
+        part = data[at : at + step]
+        yield member.decompress(part)
+        at += len(part) - len(member.unused_data)
+        if member.eof:
+            member = zlib.decompressobj(31)
+
+
+def parse(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record; holds one record and a piece."""
+    held = bytearray()
+
+    def more(n: int) -> bool:
+        while len(held) < n:
+            piece = next(pieces, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    while True:
+        while more(2) and held[:2] == b"\r\n":
+            del held[:2]
+        if not more(5):
+            if held:
+                raise ValueError("an archive ends within a record")
+            return
+        if held[:5] != b"WARC/":
+            raise ValueError("no WARC record where one should begin")
+        while (end := held.find(b"\r\n\r\n")) < 0:
+            if not more(len(held) + 1):
+                raise ValueError("an archive ends within a record's headers")
+        headers = dict(line.split(": ", 1) for line in held[:end].decode().split("\r\n")[1:])
         size = int(headers["Content-Length"])
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
-        while data[at : at + 2] == b"\r\n":
-            at += 2
+        if not more(end + 4 + size):
+            raise ValueError("an archive ends within a record")
+        yield headers, bytes(held[end + 4 : end + 4 + size])
+        del held[: end + 4 + size]
 
 
 def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -108,11 +157,11 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
     payloads=False it then stays behind."""
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        send = lambda rows: record(_SCHEMA, **dict(zip(_SCHEMA.names, map(list, zip(*rows, strict=True)), strict=True)))
         for batch in batches:
             for blob in batch.column("content"):
-                data = blob.as_buffer().to_pybytes()
-                rows = []
-                for headers, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                rows, size = [], 0
+                for headers, block in parse(unzipped(memoryview(blob.as_buffer()))):
                     kind = headers["WARC-Type"]
                     digest = headers.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None
                     head, payload, n, fields = None, None, None, []
@@ -124,9 +173,14 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
                         fields = [tuple(x.split(": ", 1)) for x in block.decode().split("\r\n") if ": " in x]
                     if kind == "response" and (len(payload) != n or sha1_base32(payload) != digest):
                         raise ValueError(f"payload of {headers['WARC-Record-ID']} does not match its digest")
-                    rows.append((headers["WARC-Record-ID"], kind, headers.get("WARC-Concurrent-To"), headers.get("WARC-Refers-To"), headers.get("WARC-Target-URI"), digest, head, n, payload if payloads and kind == "response" else None, fields))
+                    kept = payload if payloads and kind == "response" else None
+                    rows.append((headers["WARC-Record-ID"], kind, headers.get("WARC-Concurrent-To"), headers.get("WARC-Refers-To"), headers.get("WARC-Target-URI"), digest, head, n, kept, fields))
+                    size += 500 + len(kept or b"")
+                    if size >= BATCH_BYTES:
+                        yield send(rows)
+                        rows, size = [], 0
                 if rows:
-                    yield record(_SCHEMA, **dict(zip(_SCHEMA.names, map(list, zip(*rows, strict=True)), strict=True)))
+                    yield send(rows)
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(load, RECORD)
@@ -145,7 +199,9 @@ def captures(records: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """The contract's rows: every page written, read back and assembled."""
-    rows = captures(read_records(pages.sparkSession, write_archive(pages), payloads=False))
-    field = lambda name: F.col("metadata.fields")[name].cast("long")
-    return rows.select(field("page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"), field("refers_to_page").alias("refers_to"), F.col("response.target").alias("target"), F.col("request.record_id").alias("request_id"))
+    """The contract's rows: every page written, read back and assembled; a revisit's page is that of the record it refers to."""
+    found = stored(captures(read_records(pages.sparkSession, write_archive(pages), payloads=False)), "captures")
+    page = F.col("metadata.fields")["page_id"].cast("long")
+    named = found.where("response.record_type = 'response'").select(F.col("response.record_id").alias("of"), page.alias("refers_to"))
+    rows = found.join(named, F.col("response.refers_to") == F.col("of"), "left")
+    return rows.select(page.alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"), "refers_to", F.col("response.target").alias("target"), F.col("request.record_id").alias("request_id"))

@@ -1,10 +1,12 @@
 """Toxicity, WARC, top-k search, the pipeline, and the registered queries."""
 
 import base64
+import gzip
 import hashlib
 import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -81,19 +83,45 @@ def test_warc(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' as digest", "1 as refers_to")
     got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()}
     assert got == brute_warc(rows)
-    path = warc.write_archive(pages, records_per_file=3)
+    path = warc.write_archive(pages, file_bytes=300)
     records = warc.read_records(spark, path)
-    assert records.where("record_type = 'response' and target = 'u  X: y' or target like 'uX%'").count() >= 1
+    assert records.where("target = 'uX: y'").count() == 3
     whole = {r["response"]["payload_digest"]: bytes(r["response"]["payload"]) for r in warc.captures(records).collect() if r["response"]["payload"] is not None}
     assert whole == {d: (h or "").encode() for (i, _, h), (_, d, kind, _) in ((r, brute_warc(rows)[r[0]]) for r in rows if r[0] is not None) if kind == "response"}
     assert all(r["request"] and r["metadata"] for r in warc.captures(records).collect())
     assert warc.round_trip(pages.where("false")).count() == 0
-    twice = pages.where("page_id = 1").unionByName(pages.where("page_id = 1"))
-    assert warc.round_trip(twice).count() == 1
     small = {r["page_id"]: r["record_type"] for r in warc.captures(warc.read_records(spark, warc.write_archive(pages, least_bytes=100))).selectExpr("cast(metadata.fields['page_id'] as long) as page_id", "response.record_type").collect()}
     assert set(small.values()) == {"response"}
 
 
+def test_warc_files_are_valid(spark):
+    rows = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i % 7}</p>" * 50) for i in range(40)], "page_id long, url string, html string")
+    path = warc.write_archive(rows, file_bytes=4000)
+    files = spark.read.format("binaryFile").load(path).collect()
+    assert len(files) > 1
+    ids, refers = set(), set()
+    for f in files:
+        assert len(f["content"]) < 6000
+        found = list(warc.parse(iter([gzip.decompress(bytes(f["content"]))])))  # as one stream, by the standard library
+        assert found == list(warc.parse(warc.unzipped(memoryview(bytes(f["content"])), 7)))
+        assert bytes(f["content"]).count(b"\x1f\x8b\x08") >= len(found)  # a member a record
+        ids |= {h["WARC-Record-ID"] for h, _ in found if h["WARC-Type"] == "response"}
+        refers |= {h["WARC-Refers-To"] for h, _ in found if h["WARC-Type"] == "revisit"}
+    assert len(ids) == 7 and refers == ids
+    plain = b"".join(b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(x), x) for x in (b"", b"a\r\n\r\nb", b"c" * 100_000))
+    assert [b for _, b in warc.parse(warc.unzipped(memoryview(plain)))] == [b"", b"a\r\n\r\nb", b"c" * 100_000]
+
+
+def test_warc_keeps_repeated_rows(spark):
+    """A row each: equal rows, ids with several payloads, and a payload that a smaller id has too."""
+    rows = [(1, "u", "same"), (1, "u", "same"), (1, "v", "same"), (1, "u", "other"), (2, "u", "same"), (0, "u", "other"), (3, "u", ""), (3, "u", None)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    digest = lambda s: base64.b32encode(hashlib.sha1(s.encode()).digest()).decode()
+    wanted = [(1, "same", "response", None)] + [(1, "same", "revisit", 1)] * 2 + [(1, "other", "revisit", 0), (2, "same", "revisit", 1), (0, "other", "response", None), (3, "", "response", None), (3, "", "revisit", 3)]
+    assert sorted((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"] or 0) for r in got) == sorted((p, digest(t), k, r or 0) for p, t, k, r in wanted)
+    assert len({r["request_id"] for r in got}) == len(rows)
+
+
 def test_top_k(spark):
     r = random.Random(4)
     rows = [(i, [r.choice([-0.5, 0.25, r.uniform(-1, 1)]) for _ in range(20)]) for i in range(300)]
@@ -106,18 +134,43 @@ def test_top_k(spark):
         wanted |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:5])}
     assert {tuple(x) for x in topk.top_five(vectors).collect()} == wanted
     whole = topk.quantised(vectors)
-    small = topk.search(whole, whole.where("vec_id % 50 = 0"), 5, candidates_per_cell=40, queries_per_cell=2)
+    small = topk.search(whole, whole.where("vec_id % 50 = 0"), 5, candidates=40, wave_bytes=400)
     assert {tuple(x) for x in small.collect()} == wanted
     assert topk.top_five(vectors.where("false")).count() == 0
 
 
-def test_branch_and_bound_is_exact_on_large_numbers():
-    r = np.random.default_rng(3)
-    x, q = r.integers(-(1 << 19), 1 << 19, (64, 500)), r.integers(-(1 << 19), 1 << 19, (64, 9))
-    for j, (_, found, score) in enumerate(topk.best(np.arange(500), x, np.full(9, -1), q, 5)):
-        whole = q[:, j] @ x
-        order = np.lexsort((np.arange(500), -whole))[:5]
-        assert found.tolist() == order.tolist() and score.tolist() == whole[order].tolist()
+def brute_top(rows, k=5):
+    """Whole numbers of any size; a query for each distinct vector of an id."""
+    kept = [(i, [math.floor(256 * Fraction(v)) for v in x]) for i, x in rows]
+    out = []
+    for q, a in {(i, tuple(x)) for i, x in kept if i % 50 == 0}:
+        scored = sorted((-sum(m * n for m, n in zip(a, x, strict=True)), i) for i, x in kept if i != q and len(x) == len(a))
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("candidates", "queries", "dim"), [(1.0, 1.0, 64), (1e7, 1e3, 64), (1e9, 1e3, 64), (3e11, 1.0, 5), (1e15, 1e-3, 3), (1e12, 1.0, 1)])
+def test_top_k_is_exact_on_large_numbers(spark, candidates, queries, dim):
+    r = random.Random(9)
+    rows = [(i, [r.uniform(-1, 1) * (queries if i % 50 == 0 else candidates) for _ in range(dim)]) for i in range(1, 301)]
+    # queries meet each other too: scores of large with large would not fit a long, so queries stay small
+    rows += [(7, rows[20][1]), (7, rows[20][1]), (50, rows[3][1][:1] * dim if candidates == 1.0 else rows[99][1]), (600, rows[149][1])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(x) for x in topk.top_five(vectors).collect()) == brute_top(rows)
+
+
+def test_top_k_over_waves_batches_and_repeats(spark):
+    r = random.Random(10)
+    rows = [(r.randrange(300), [float(r.randint(-2, 2)) for _ in range(r.choice([4, 6]))]) for _ in range(700)]
+    whole = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = topk.search(whole, whole.where("vec_id % 50 = 0"), 5, candidates=30, wave_bytes=500)
+    assert sorted(tuple(x) for x in got.collect()) == brute_top(rows)
+
+
+def test_top_k_fails_on_scores_beyond_a_long(spark):
+    for rows in ([(0, [1e15]), (1, [1e15])], [(0, [1.0]), (1, [1e200])]):
+        with pytest.raises(Exception, match="does not fit|too large"):
+            topk.top_five(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
 
 
 def test_pipeline_stages(spark):
