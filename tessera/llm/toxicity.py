@@ -1,17 +1,19 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
-A document's words are tokens; a chain is a line of text, cut every CHAIN tokens. Each token is clean or toxic. Its
+A document's words are tokens; a chain is a line of text. Each token is clean or toxic. Its
 features are hashes of the word, of its first four, five and six bytes, of its last three, and of the words beside it;
 the chain adds a weight for each pair of neighbouring states. Labels mark documents, so tokens are labelled first: in a
 toxic document those are toxic that have a feature which training documents show in toxic ones alone or nearly so; in
 others none is. The field is then fitted by stochastic gradient on forward-backward expectations. A document's score is
 its largest toxic marginal, calibrated by logistic regression on the training documents.
 
-Training reads at most `train_docs` labelled documents (half of each label, by a hash of the id); scoring reads every
-token of every document.
+Training reads at most `train_docs` labelled documents of at most `train_bytes` bytes together (half of each label, by a
+hash of the id; a text that does not fit into what is left is passed over); scoring reads every token of every document.
+Long chains are computed in blocks, whose transfer matrices carry the messages across exactly.
 
 Defined results: null and empty texts get the score of a document without tokens; without labelled rows of both kinds
-every score is 0; null labels are left out, of repeated ones the largest counts; rows without doc_id are left out.
+every score is 0; null labels are left out, of repeated ones the largest counts; of labelled rows that repeat an id the
+smallest text is learnt from; rows without doc_id are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record, slices, string_bytes, texts
+from .common import record, slices, stored, string_bytes, texts
 from .hashing import _BASE, _BASE_INVERSE, _BYTE, _FOLD, _power, mix
 
-#: Labelled documents that training reads at most.
-TRAIN_DOCS = 2400
-#: Tokens of a chain at most, and the bits of a feature number.
-CHAIN, BITS = 256, 22
+#: Labelled documents that training reads at most, and their bytes.
+TRAIN_DOCS, TRAIN_BYTES = 2400, 24 << 20
+#: Tokens of a block, and the bits of a feature number.
+BLOCK, BITS = 256, 22
 WEIGHTS = 1 << BITS
 SCORED = "doc_id long, score double, n_spans int, starts array<int>, stops array<int>"
 _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_spans", pa.int32()), ("starts", pa.list_(pa.int32())), ("stops", pa.list_(pa.int32()))])
@@ -84,50 +86,70 @@ def features(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, first: np.
 
 
 def chains(data: np.ndarray, starts: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Marks the tokens that begin a chain: the first of a text, of a line, and every CHAIN-th after."""
+    """Marks the tokens that begin a chain: the first of a text, and of a line."""
     first = np.zeros(len(starts), bool)
     first[count[:-1][count[:-1] < count[1:]]] = True
     first[np.searchsorted(starts, np.flatnonzero(data == 0x0A))[:, None].ravel().clip(max=len(starts) - 1)] = True if len(starts) else False
-    if len(starts):
-        begin = np.maximum.accumulate(np.where(first, np.arange(len(starts)), 0))
-        first |= (np.arange(len(starts)) - begin) % CHAIN == 0
     return first
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return x / x.reshape(len(x), -1).sum(1).reshape((-1,) + (1,) * (x.ndim - 1))
+
+
 def marginals(emit: np.ndarray, first: np.ndarray, change: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """The toxic state's probability of each token by forward-backward, all chains a step at a time; and the expected
-    numbers of the state pairs."""
+    """The toxic state's probability of each token by forward-backward, all blocks a step at a time; and the expected
+    numbers of the state pairs. first marks the chains."""
     n = len(emit)
     if not n:
         return np.zeros(0), np.zeros((2, 2)) if pairs else None
-    at = np.flatnonzero(first)
+    begin = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    at = np.flatnonzero((np.arange(n) - begin) % BLOCK == 0)
+    nth = (at - begin[at]) // BLOCK  # of its chain
     size = np.diff(np.r_[at, n])
+    last = at + size - 1
     order = np.argsort(-size, kind="stable")
-    at, size = at[order], size[order]
-    alive = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")  # chains with a token at each step
+    alive = np.searchsorted(-size[order], -np.arange(1, size.max() + 1), side="right")  # blocks with a token at each step
     grow = np.exp(change)
     odds = np.exp(np.clip(emit, -30, 30))
-    f = np.empty((n, 2))
-    here = np.stack([np.ones(len(at)), odds[at]], 1)
-    here /= here.sum(1, keepdims=True)
-    f[at] = here
-    for t in range(1, size[0]):
+    weight = np.stack([np.ones(n), odds], 1)
+    # what a block makes of a message before its first token, as a matrix, of blocks in chains that have several
+    several = np.r_[nth[1:] > 0, False] | (nth > 0)
+    whole = np.tile(np.eye(2), (len(at), 1, 1))
+    if several.any():
+        of = order[several[order]]
+        left = np.searchsorted(-size[of], -np.arange(1, size[of[0]] + 1), side="right")
+        m = np.eye(2) * weight[at[of]][:, None, :]
+        for t in range(1, size[of[0]]):
+            k = left[t]
+            m[:k] = _scaled((m[:k] @ grow) * weight[at[of[:k]] + t][:, None, :])
+        whole[of] = m
+    enter, leave = np.ones((len(at), 2)), np.ones((len(at), 2))
+    for step in range(1, int(nth.max()) + 1):
+        b = np.flatnonzero(nth == step)
+        enter[b] = _scaled(np.einsum("ij,ijk->ik", enter[b - 1], whole[b - 1]) @ grow)
+    for step in range(int(nth.max()), 0, -1):
+        b = np.flatnonzero(nth == step)
+        leave[b - 1] = _scaled(np.einsum("ijk,ik->ij", whole[b], leave[b]) @ grow.T)
+    f, b = np.empty((n, 2)), np.empty((n, 2))
+    here = _scaled(enter[order] * weight[at[order]])
+    f[at[order]] = here
+    for t in range(1, size.max()):
         k = alive[t]
-        here = here[:k, :1] * grow[0] + here[:k, 1:] * grow[1]
-        here[:, 1] *= odds[at[:k] + t]
-        here /= here.sum(1, keepdims=True)
-        f[at[:k] + t] = here
-    b = np.ones((n, 2))
+        here = _scaled((here[:k] @ grow) * weight[at[order[:k]] + t])
+        f[at[order[:k]] + t] = here
+    b[last] = leave
     counts = np.zeros((2, 2))
-    for t in range(size[0] - 2, -1, -1):
+    for t in range(int(size.max()) - 2, -1, -1):
         k = alive[t + 1]
-        nxt = b[at[:k] + t + 1].copy()
-        nxt[:, 1] *= odds[at[:k] + t + 1]
-        got = nxt[:, :1] * grow[:, 0] + nxt[:, 1:] * grow[:, 1]
-        b[at[:k] + t] = got / got.sum(1, keepdims=True)
+        spot = at[order[:k]] + t
+        ahead = b[spot + 1] * weight[spot + 1]
+        b[spot] = _scaled(ahead @ grow.T)
         if pairs:
-            joint = f[at[:k] + t][:, :, None] * grow * nxt[:, None, :]
-            counts += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+            counts += _scaled(f[spot][:, :, None] * grow * ahead[:, None, :]).sum(0)
+    if pairs and several.any():
+        spot = at[nth > 0] - 1
+        counts += _scaled(f[spot][:, :, None] * grow * (b[spot + 1] * weight[spot + 1])[:, None, :]).sum(0)
     p = f * b
     return p[:, 1] / p.sum(1), counts if pairs else None
 
@@ -227,18 +249,26 @@ def peaks(p: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Field:
     """Fits on labelled documents, never on those with crc32(doc_id as text) mod 3 = 1."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out()).withColumn("toxic", (F.col("toxic") > 0).cast("int"))
-    some = [known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs // 2) for label in (0, 1)]
-    chosen = some[0].unionByName(some[1]).collect()
-    picked = {r["doc_id"]: r["toxic"] for r in chosen}
-    if len(set(picked.values())) < 2:
+    some = [known.where(F.col("toxic") == label).withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id").limit(train_docs // 2) for label in (0, 1)]
+    chosen = some[0].unionByName(some[1])  # train_docs rows at most
+    spark = docs.sparkSession
+    ids = spark.createDataFrame(chosen.collect(), chosen.schema)
+    found = texts(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic", "turn").agg(F.min("text").alias("text"))
+    found = stored(found, "training-texts")
+    picked, room = [], {0: train_bytes // 2, 1: train_bytes // 2}
+    for r in sorted(found.select("doc_id", "toxic", "turn", F.octet_length("text").alias("size")).collect(), key=lambda r: (r["turn"], r["doc_id"])):
+        if r["size"] <= room[r["toxic"]]:
+            room[r["toxic"]] -= r["size"]
+            picked.append((r["doc_id"],))
+    if not picked:
         return fit([], np.zeros(0, bool))
-    ids = docs.sparkSession.createDataFrame([(i,) for i in picked], "doc_id long")
-    rows = sorted(texts(docs).join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]).toLocalIterator(), key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in rows], np.array([picked[r["doc_id"]] == 1 for r in rows], bool))
+    rows = found.join(F.broadcast(spark.createDataFrame(picked, "doc_id long")), "doc_id", "left_semi").select("doc_id", "toxic", "text").collect()  # train_bytes at most
+    rows.sort(key=lambda r: r["doc_id"])
+    return fit([r["text"] for r in rows], np.array([r["toxic"] == 1 for r in rows], bool))
 
 
 def held_out():
@@ -297,4 +327,4 @@ def without_toxic(docs: DataFrame, field: Field, at: float = 0.7) -> DataFrame:
 def scores(docs: DataFrame, labels: DataFrame, at: float = 0.7, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """The contract's rows."""
     out = tag(docs, train(docs, labels, train_docs))
-    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"), "n_spans")
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"), "n_spans", "starts", "stops")

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import math
 import random
+import re
 import zlib
 from fractions import Fraction
 
@@ -65,6 +66,79 @@ def test_forward_backward_matches_enumeration():
     assert np.allclose(p, on / total) and np.allclose(counts, pairs / total)
 
 
+def _chain(w, grow):
+    """Marginals of the toxic state along one chain."""
+    f, b = [], [np.ones(2)]
+    for x in w:
+        here = np.array([1, x]) * (f[-1] @ grow if f else 1)
+        f.append(here / here.sum())
+    for x in w[:0:-1]:
+        back = grow @ (np.array([1, x]) * b[-1])
+        b.append(back / back.sum())
+    p = np.array(f) * np.array(b[::-1])
+    return p[:, 1] / p.sum(1)
+
+
+def test_long_chains_are_exact():
+    """Chains of several blocks against a plain loop over one chain at a time."""
+    r = np.random.default_rng(5)
+    size = [1, 700, 3, 256, 257, 512, 1500, 40]
+    emit, change = r.normal(size=sum(size)) * 2, r.normal(size=(2, 2))
+    first = np.zeros(len(emit), bool)
+    first[np.cumsum([0, *size[:-1]])] = True
+    p, counts = toxicity.marginals(emit, first, change, True)
+    at, wanted, pairs = 0, [], np.zeros((2, 2))
+    for n in size:
+        w = np.stack([np.ones(n), np.exp(emit[at : at + n])], 1)
+        f, b = np.empty((n, 2)), np.ones((n, 2))
+        for t in range(n):
+            f[t] = w[t] * (f[t - 1] @ np.exp(change) if t else 1)
+            f[t] /= f[t].sum()
+        for t in range(n - 2, -1, -1):
+            b[t] = np.exp(change) @ (w[t + 1] * b[t + 1])
+            b[t] /= b[t].sum()
+            x = f[t][:, None] * np.exp(change) * (w[t + 1] * b[t + 1])
+            pairs += x / x.sum()
+        wanted.append((f * b)[:, 1] / (f * b).sum(1))
+        at += n
+    assert np.allclose(p, np.concatenate(wanted)) and np.allclose(counts, pairs)
+
+
+def test_scores_and_spans_against_a_plain_version(spark):
+    """Every score of the query from the trained field, a text at a time: words by a regular expression, marginals by loops."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id % 9 = 0")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    field = toxicity.train(spark.read.parquet(f"{DATA}/documents.parquet"), labels)
+    grow = np.exp(field.change)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for row in toxicity.tag(docs, field).collect():
+        raw = texts[row["doc_id"]].encode()
+        found, owner = [], []
+        blank = re.sub(rb"\xe2[\x80\x81].", b"   ", raw, flags=re.S)  # dashes and quotation marks are no letters
+        for k, line in enumerate(re.finditer(rb"[^\n]+", blank)):
+            for m in re.finditer(rb"[A-Za-z\x80-\xff]+", line.group()):
+                found.append((line.start() + m.start(), line.start() + m.end()))
+                owner.append(k)
+        if not found:
+            best, hot = 0.0, []
+        else:
+            first = np.array([k == 0 or owner[k] != owner[k - 1] for k in range(len(found))])
+            starts, stops = (np.array(x) for x in zip(*found, strict=True))
+            x = toxicity.features(np.frombuffer(raw, np.uint8), starts, stops, first)
+            w = np.exp(np.clip(field.weights[x].sum(0) + field.weights[-1], -30, 30))
+            p = np.concatenate([_chain(w[k], grow) for k in np.split(np.arange(len(w)), np.flatnonzero(first)[1:])])
+            best, hot = p.max(), [k for k in range(len(p)) if p[k] >= 0.5]
+        top = np.log(np.clip(best, 1e-6, 1 - 1e-6)) - np.log1p(-np.clip(best, 1e-6, 1 - 1e-6))
+        assert row["score"] == pytest.approx(1 / (1 + math.exp(-np.clip(field.slope * top + field.shift, -30, 30))), abs=1e-4)
+        spans = []
+        for k in hot:
+            if spans and spans[-1][2] == k - 1:
+                spans[-1][1:] = [found[k][1], k]
+            else:
+                spans.append([*found[k], k])
+        assert list(zip(row["starts"], row["stops"], strict=True)) == [(a, b) for a, b, _ in spans] and row["n_spans"] == len(spans)
+
+
 def brute_warc(rows):
     first = {}
     for i, _, html in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
