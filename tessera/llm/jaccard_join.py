@@ -5,8 +5,9 @@ rare ones first (by a sketch of all shingle counts, of fixed size, then by hash)
 shingle among the first few of both; an index list holds, for each such shingle, the sets with their size and the
 shingle's position in them.
 
-Index lists are skipped by blocks: a list is cut by size class and ordered by position, and what lies too far down to
-reach the needed overlap, or in a class too small or large, is not read. Answers come from related sets: in each block
+Index lists are skipped by blocks: a list is cut by size class and ordered by position, and its end, from where on no set
+of the block can reach the needed overlap, is skipped, as are classes too small or large. A list that may be long, by the
+sketch, is dealt out in slices that stand for themselves first. Answers come from related sets: in each block
 the set with the commonest rarest shingle (the least edited one) leads, and only it is compared with the others. Its
 answers, kept as the shingles by which a set differs from its leader, then give those of the others incrementally: sets
 that they already connect need no comparison, and of the rest, two sets of one leader are compared by their differences
@@ -33,13 +34,17 @@ from pyspark.sql import functions as F
 
 from .common import record, slices, stored, string_bytes
 from .components import components
-from .hashing import grams, mix, word_hashes, words
+from .hashing import grams, mix, ragged, word_hashes, words
 
 SHINGLE, PERCENT = 5, 75
 #: Bits of a sketch cell's number; the sketch has 2^CELLS counts. RANGES parts of it are merged apart.
 CELLS, RANGES, SALTS = 20, 16, 16
 #: Sets whose postings one reducer holds, about.
 SETS_PER_PART = 3000
+#: Postings of a list from which on it is dealt out in slices of about as many.
+SLICE_POSTINGS = 50_000
+#: Parts of a class whose members look their answer up.
+SPREAD = 16
 _LOW = np.uint64((1 << (64 - CELLS)) - 1)
 _POSTING = np.dtype([("key", "<u8"), ("sid", "<i8"), ("lead", "<u4"), ("size", "<i4"), ("pos", "<i4")])
 
@@ -103,15 +108,16 @@ def _sets(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     return both.where("part is null").select("doc_id", "uid", "sid", "size"), parts.repartition("part").mapInArrow(merge, "part int, counts binary")
 
 
-def _cell_ranks(parts: DataFrame) -> np.ndarray:
-    """The place of each sketch cell when they are ordered by count; fixed size."""
+def _cell_ranks(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each sketch cell when they are ordered by count, and the slices of the lists of each place; fixed size."""
     counts = np.zeros(1 << CELLS, np.uint64)
     width = (1 << CELLS) // RANGES
     for r in parts.collect():  # RANGES rows
         counts[r["part"] * width : (r["part"] + 1) * width] += np.frombuffer(zlib.decompress(r["counts"]), "<u8")
+    order = np.argsort(counts, kind="stable")
     ranks = np.empty(1 << CELLS, np.uint64)
-    ranks[np.argsort(counts, kind="stable")] = np.arange(1 << CELLS, dtype=np.uint64)
-    return ranks
+    ranks[order] = np.arange(1 << CELLS, dtype=np.uint64)
+    return ranks, np.maximum(1, -(-counts[order].astype(np.int64) // SLICE_POSTINGS)).astype(np.uint32)
 
 
 def needed(a, b, percent: int):
@@ -119,43 +125,56 @@ def needed(a, b, percent: int):
     return -((a + b) * percent // -(100 + percent))
 
 
-def _candidates(table: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From postings: pairs of a leader and a set; and the postings of blocks with more than two sets."""
+def _candidates(table: np.ndarray, percent: int, sliced: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From postings: pairs of a leader and a set; and the postings of blocks with more than two sets, and of slices."""
     table = np.unique(table[np.lexsort((table["pos"], table["sid"], table["key"]))])
-    same = lambda t: np.r_[True, t[1:] != t[:-1]] if len(t) else np.zeros(0, bool)
-    many = np.diff(np.r_[np.flatnonzero(same(table["key"])), len(table)])
-    table = table[np.repeat(many, many) > 1]
+    new = lambda *t: np.any([x[1:] != x[:-1] for x in t], 0)
+    starts = lambda *t: np.flatnonzero(np.r_[True, new(*t)]) if len(t[0]) else np.zeros(0, np.int64)
+    many = np.diff(np.r_[starts(table["key"]), len(table)])
+    part = np.zeros(len(table), bool) if sliced is None else sliced[(table["key"] >> np.uint64(64 - CELLS)).astype(np.int64)] > 1
+    stay = (np.repeat(many, many) > 1) | part
+    table, part = table[stay], part[stay]
     if not len(table):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), table
+    size, pos = table["size"].astype(np.int64), table["pos"].astype(np.int64)
     # blocks by size class: linked sizes lie in one class or in neighbouring ones
     step = -np.log(percent / 100) if percent < 100 else 1e-9
-    level = np.floor(np.log(table["size"]) / step + 1e-9).astype(np.int64)
-    pairs, kept = [], np.zeros(len(table), bool)
+    level = np.floor(np.log(size) / step + 1e-9).astype(np.int64)
+    # positions too far down for any set: at most the smallest linked size can match
+    own = size - pos >= needed(size, -(size * percent // -100), percent)
+    by_lead = np.lexsort((table["sid"], ~table["lead"]))
+    turn = np.empty(len(table), np.int64)
+    turn[by_lead] = np.arange(len(table))
+    share = percent / (100 + percent)
+    pairs, kept = [], part & own
     for shift in (0, 1):  # classes (0, 1), (2, 3), ... and (1, 2), (3, 4), ...: each two neighbours stand together once
         block = (level + shift) >> 1
-        order = np.lexsort((table["sid"], ~table["lead"], block, table["key"]))
-        t, b = table[order], block[order]
-        new = np.r_[True, (t["key"][1:] != t["key"][:-1]) | (b[1:] != b[:-1])]
-        first = np.flatnonzero(new)
-        n = np.diff(np.r_[first, len(t)])
-        lead = t[np.repeat(first, n)]
-        room = np.minimum(lead["size"] - lead["pos"], t["size"] - t["pos"])
-        fits = (room >= needed(lead["size"].astype(np.int64), t["size"], percent)) & ~new
-        pairs.append(np.unique(np.stack([lead["sid"][fits], t["sid"][fits]], 1), axis=0))
-        # positions too far down for any set of the block: at most the smallest linked size can match
-        own = t["size"] - t["pos"] >= needed(t["size"].astype(np.int64), -(t["size"].astype(np.int64) * percent // -100), percent)
-        kept[order] |= (np.repeat(n, n) > 2) & own
+        order = np.lexsort((pos, block, table["key"]))  # each block of a list, by position
+        first = starts(table["key"][order], block[order])
+        n = np.diff(np.r_[first, len(order)])
+        lead = by_lead[np.minimum.reduceat(turn[order], first)]
+        # from this position on no set of the block reaches the overlap with its leader: the end of the list is not read
+        limit = np.floor((1 - share) * np.maximum.reduceat(size[order], first) - share * size[lead] + 1e-6).astype(np.int64)
+        deep = int(pos.max()) + 2
+        number = np.arange(len(first))
+        spot = np.repeat(number, n) * deep + pos[order]
+        read = np.searchsorted(spot, number * deep + np.clip(limit, -1, deep - 1), side="right") - first
+        a, b = np.repeat(lead, read), order[ragged(first, read)]
+        room = np.minimum(size[a] - pos[a], size[b] - pos[b])
+        fits = (room >= needed(size[a], size[b], percent)) & (a != b)
+        pairs.append(np.unique(np.stack([table["sid"][a[fits]], table["sid"][b[fits]]], 1), axis=0))
+        kept[order] |= (np.repeat(n, n) > 2) & own[order]
     pairs = np.unique(np.concatenate(pairs), axis=0)
     return pairs[:, 0], pairs[:, 1], table[kept]
 
 
-def _postings(docs: DataFrame, ranks: np.ndarray, parts: int, n: int, percent: int) -> DataFrame:
+def _postings(docs: DataFrame, ranks: tuple[np.ndarray, np.ndarray], parts: int, n: int, percent: int) -> DataFrame:
     """Stored candidates: rows of a leader (a) and a set (b); and rows of key, sid (a), size, pos where more are together."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("size", pa.int32()), ("pos", pa.int32())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = shared.value
+        place, sliced = shared.value
         for batch in slices(batches, "text"):
             text, value = shingle_sets(*string_bytes(batch.column("text")), n)
             size = np.bincount(text, minlength=batch.num_rows)
@@ -168,7 +187,8 @@ def _postings(docs: DataFrame, ranks: np.ndarray, parts: int, n: int, percent: i
             who = text[front]
             out = np.zeros(len(front), _POSTING)
             out["key"], out["sid"], out["lead"], out["size"], out["pos"] = key[front], sid[who], (key >> np.uint64(32))[begin[who]], size[who], pos[front]
-            part = (mix(out["key"]) % np.uint64(parts)).astype(np.int64)
+            slice_ = mix(out["sid"].view(np.uint64)) % sliced[(out["key"] >> np.uint64(64 - CELLS)).astype(np.int64)]
+            part = ((mix(out["key"]) + slice_) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             edges = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]]) if len(order) else []
             if len(edges):
@@ -177,7 +197,7 @@ def _postings(docs: DataFrame, ranks: np.ndarray, parts: int, n: int, percent: i
 
     def meet(group: pa.Table) -> pa.Table:
         table = np.concatenate([np.frombuffer(b.as_buffer(), _POSTING) for b in group.column("blob")])
-        a, b, more = _candidates(table, percent)
+        a, b, more = _candidates(table, percent, shared.value[1])
         none = lambda k, t: pa.nulls(k, t)
         return pa.Table.from_batches([
             record(schema, key=none(len(a), pa.int64()), a=a, b=b, size=none(len(a), pa.int32()), pos=none(len(a), pa.int32())),
@@ -273,10 +293,14 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = SHIN
         every = direct.unionByName(later).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         degree = every.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("n_links"))
         own = own.join(degree, "sid", "left")
-    own = stored(own, "classes")
-    least = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    own = stored(own.withColumn("spread", F.pmod(F.xxhash64("sid"), F.lit(SPREAD))), "classes")
     count = ["n_links"] if links else []
-    classes = stored(own.join(least, "component").select("sid", F.col("component").alias("class"), "component_id", *count), "class-ids")
+    # a set that stands for itself needs no look-up; a large class is looked up in parts
+    linked = own.where("component <> sid").select("component").distinct()
+    least = own.join(linked, "component", "left_semi").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    least = least.withColumn("spread", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    classes = own.join(least, ["component", "spread"], "left").select("sid", F.col("component").alias("class"), F.coalesce("component_id", "doc_id").alias("component_id"), *count)
+    classes = stored(classes, "class-ids")
     count = [F.coalesce(c, F.lit(0)).alias(c) for c in count]
     return described.join(classes, "sid", "left").select("uid", "doc_id", "class", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *count)
 

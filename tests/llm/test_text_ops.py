@@ -185,6 +185,51 @@ def test_jaccard_join_counts_all_links(spark):
     assert {i: x["component_id"] for i, x in by_id(jaccard_join.join(rows)).items()} == {i: x["component_id"] for i, x in got.items()}
 
 
+def test_jaccard_join_with_a_shingle_in_every_set(spark):
+    """20,000 texts that share a phrase and link with nothing else, a few near copies among them."""
+    r = random.Random(21)
+    phrase = "to be or not to be that is"
+    rows = [(i, f"{phrase} " + " ".join(str(r.random()) for _ in range(r.randint(2, 12)))) for i in range(20_000)]
+    for i in range(0, 60, 2):  # a long text and the same with one word more
+        long = f"{phrase} " + " ".join(str(r.random()) for _ in range(60))
+        rows[i], rows[i + 1] = (i, long), (i + 1, long + " more")
+    got = by_id(jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i for i, x in got.items() if x["component_id"] != i} == set(range(1, 60, 2))
+    assert all(got[i + 1]["component_id"] == i for i in range(0, 60, 2))
+
+
+def test_jaccard_join_over_slices(spark, docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SLICE_POSTINGS", 2)
+    got = {i: (r["n_shingles"], r["component_id"]) for i, r in by_id(jaccard_join.join(docs)).items()}
+    assert got == brute_join(corpus())
+
+
+def test_candidates_skip_only_what_cannot_link():
+    """Every pair of a leader and a set that shares a key and can reach the overlap is found."""
+    r = np.random.default_rng(6)
+    table = np.zeros(3000, jaccard_join._POSTING)
+    table["sid"] = np.arange(3000)
+    table["key"], table["lead"] = r.integers(0, 6, 3000), r.integers(0, 50, 3000)
+    table["size"] = r.integers(1, 60, 3000)
+    table["pos"] = r.integers(0, 1 + table["size"] // 4)
+    a, b, _ = jaccard_join._candidates(table.copy(), 75)
+    found = set(zip(a.tolist(), b.tolist(), strict=True))
+    level = np.floor(np.log(table["size"]) / -np.log(0.75) + 1e-9).astype(int)
+    wanted = set()
+    for shift in (0, 1):
+        lists = defaultdict(list)
+        for k in range(3000):
+            lists[table["key"][k], (level[k] + shift) >> 1].append(k)
+        for members in lists.values():
+            lead = max(members, key=lambda k: (table["lead"][k], -table["sid"][k]))
+            for k in members:
+                sizes = int(table["size"][lead]), int(table["size"][k])
+                room = min(sizes[0] - table["pos"][lead], sizes[1] - table["pos"][k])
+                if k != lead and 175 * room >= 75 * sum(sizes):
+                    wanted.add((lead, k))
+    assert found == wanted
+
+
 def test_one_of_each(spark, docs, none):
     kept = {r["doc_id"] for r in jaccard_join.one_of_each(docs).collect()}
     wanted = brute_join(corpus())
@@ -216,7 +261,6 @@ def tokens_of(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
