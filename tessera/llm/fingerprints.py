@@ -34,9 +34,11 @@ from .common import stored, texts
 
 #: Code points of a unit at most.
 UNIT = 8
-#: Paragraphs of a fingerprint's lowest level: a lower one is taken where there are fewer than half, unless that has more
-#: than four times as many. Strata of a level; cells of each of the three tables of a first sketch.
-PARAGRAPHS, STRATA, CELLS = 16, 2, 8
+#: Paragraphs of a fingerprint's lowest level, by its number of units; where there are fewer than LEAST, a lower level is
+#: taken, unless that has more than four times PARAGRAPHS.
+PARAGRAPHS, LEAST = 16, 12
+#: Strata of a level; cells of each of the three tables of a first sketch.
+STRATA, CELLS = 2, 8
 #: Differing digests that a stratum of compare() should hold.
 LOAD = 8
 #: Tables of up to 2^16 cells: then every digest has three cells of its own.
@@ -81,7 +83,7 @@ def cut(text: str) -> str:
     all_of = "sequence(0, size(h) - 1)"
     level = f"greatest(0, CAST(ceil(log2(size(h) / {float(PARAGRAPHS)})) AS INT))"
     finer = let("f", starts(all_of, "l"), f"IF(size(f) > {4 * PARAGRAPHS}, s, named_struct('l', l, 'b', f))")
-    base = f"aggregate(sequence(first, 0, -1), named_struct('l', first, 'b', CAST(array() AS array<int>)), (s, l) -> IF(size(s.b) >= {PARAGRAPHS // 2}, s, {finer}))"
+    base = f"aggregate(sequence(first, 0, -1), named_struct('l', first, 'b', CAST(array() AS array<int>)), (s, l) -> IF(size(s.b) >= {LEAST}, s, {finer}))"
     base = let("first", level, let("g", base, f"IF(size(g.b) > 0, g, named_struct('l', first, 'b', {starts(all_of, 'first')}))"))
     # the top level is above the most zero bits that a unit between two paragraphs ends in
     zeros = let("y", "get(h, i - 1)", "IF(y = 0L, 63, bit_count((y & -y) - 1L))")

@@ -1,8 +1,10 @@
 """Operators on documents: edge cases, and brute-force versions on small tables."""
 
+import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -368,6 +370,18 @@ def test_sentencepiece(docs, none):
     assert sentencepiece_codec.encode(none, PIECES).count() == 0
 
 
+def test_sentencepiece_takes_long_chunks():
+    """A megabyte without spaces in seconds, and the same ids as the library's."""
+    r = random.Random(14)
+    c = sentencepiece_codec.codec(PIECES)
+    for text in (base64.b64encode(r.randbytes(750_000)).decode(), "ab" * 100_000, "\n".join("".join(r.choices("etaoin", k=9)) for _ in range(3000))):
+        began = time.process_time()
+        got = next(c.encode([text]))
+        assert time.process_time() - began < 5
+        ids = c.library.encode(text, add_bos=True, add_eos=True)
+        assert got == (np.array(ids, "<u4").tobytes(), c.library.decode(ids))
+
+
 @pytest.mark.parametrize("text", ["", " ", "   a  b ", "\n\n x\ty\r\n", "▁▁ ▁", "　ﬁ🦀é́", "\x00 \x01﻿", "</s><unk><0x41>", "a" * 3000, "1234567890 " * 50])
 def test_sentencepiece_oddities(text):
     c = sentencepiece_codec.codec(PIECES)
@@ -375,35 +389,121 @@ def test_sentencepiece_oddities(text):
     assert next(c.encode([text])) == (np.array(ids, "<u4").tobytes(), c.library.decode(ids))
 
 
+def spark_hash(values):
+    """Spark's 64-bit hash of a text, a number, or a list of numbers."""
+    import xxhash
+
+    if isinstance(values, str):
+        return xxhash.xxh64_intdigest(values.encode(), seed=42)
+    h = 42
+    for x in values if isinstance(values, list) else [values]:
+        h = xxhash.xxh64_intdigest((x & (1 << 64) - 1).to_bytes(8, "little"), seed=h)
+    return h
+
+
+SCRIPTS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+UNITS = re.compile(f"[{SCRIPTS}]|[^ \t\n\x0b\f\r{SCRIPTS}]{{1,8}}")
+
+
+def paragraphs(units, level):
+    """The digests of a level."""
+    out, part = set(), []
+    for k, u in enumerate(units):
+        part.append(u)
+        if u % (1 << level) == 0 or k == len(units) - 1:
+            out.add(spark_hash(part) & (1 << 48) - 1)
+            part = []
+    return out
+
+
+def begun(units, level):
+    return sum(k == 0 or units[k - 1] % (1 << level) == 0 for k in range(len(units)))
+
+
+def lowest_level(units):
+    first = max(0, int(np.ceil(np.log2(len(units) / 16)))) if units else 0
+    level = None
+    for x in range(first, -1, -1):
+        n = begun(units, x)
+        if n > 64:
+            break
+        level = x
+        if n >= 12:
+            break
+    return first if level is None else level
+
+
+def plain_likeness(a, b):
+    a, b = ([spark_hash(u) for u in UNITS.findall(t)] for t in (a, b))
+    level = max(lowest_level(a), lowest_level(b))
+    x, y = paragraphs(a, level), paragraphs(b, level)
+    return 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
+
+
+def edited(t, after):
+    half = len(t) // 2
+    return t[: len(t) - half] + after[:half]
+
+
+def read_fingerprint(text):
+    """The levels, and of each stratum its cells (count, XOR)."""
+    levels, _, body = text.partition(":")
+    out = {}
+    for part in body.split():
+        t, _, cells = part.partition("=")
+        out[int(t)] = {int(c): (int(n), int(k, 16)) for c, n, k in (x.split(".") for x in cells.split(","))}
+    return *map(int, levels.split("-")), out
+
+
 def test_fingerprints(spark, docs, none):
     rows = sorted((i, t or "") for i, t, *_ in corpus())
     got = by_id(fingerprints.edited_and_next(docs))
     for k, (i, t) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1]
-        half = len(t) // 2
-        assert got[i]["n_chars"] == len(t)
-        assert got[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()
-        assert 0 <= got[i]["near_edited"] <= 1 and (got[i]["near_next"] == 1 or t != after)
+        other = edited(t, after)
+        assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(other.encode()).hexdigest()
+        assert got[i]["near_edited"] == pytest.approx(plain_likeness(t, other)) and got[i]["near_next"] == pytest.approx(plain_likeness(t, after))
     marks = by_id(fingerprints.fingerprint(docs))
     by_text = defaultdict(set)
     for i, t in rows:
         by_text[t].add(marks[i]["fingerprint"])
         assert marks[i]["fingerprint"] == got[i]["fingerprint"]
+        low, top, strata = read_fingerprint(got[i]["fingerprint"])
+        units = [spark_hash(u) for u in UNITS.findall(t)]
+        assert low == lowest_level(units) and (not units or begun(units, top) == 1)
+        for level in range(low, top + 1) if units else ():
+            held = [strata.get(2 * level + k, {}) for k in (0, 1)]
+            wanted = paragraphs(units, level)
+            for table in range(3):
+                counts = [cells.get(8 * table + c, (0, 0)) for cells in held for c in range(8)]
+                assert sum(n for n, _ in counts) == len(wanted)
+                assert np.bitwise_xor.reduce([k & (1 << 48) - 1 for _, k in counts] or [0]) == np.bitwise_xor.reduce([*wanted])
     assert all(len(v) == 1 for v in by_text.values())
     assert fingerprints.edited_and_next(none).count() == 0
-    one = fingerprints.edited_and_next(spark.createDataFrame([(5, "abc def. ghi")], "doc_id long, text string")).first()
-    assert one["near_next"] == 1.0
+    one = fingerprints.edited_and_next(spark.createDataFrame([(5, "abc def. ghi"), (None, "x")], "doc_id long, text string")).collect()
+    assert [r["near_next"] for r in one] == [1.0]
 
 
-def test_fingerprints_of_texts_without_usual_cuts(spark):
+def test_fingerprints_of_any_script_and_length(spark):
     r = random.Random(12)
     written = lambda letters, n, sep: sep.join("".join(r.choices(letters, k=r.randint(2, 8))) for _ in range(n))
     alphabets = ["qrstuvwxyz", "абвгдежз", "אבגדהוזח", "αβγδεζηθ"]
-    texts = [written(a, n, " ") for a in alphabets for n in (8, 30, 120, 500)]
-    texts += ["".join(chr(r.randrange(0x4E00, 0x9F00)) for _ in range(n)) for n in (30, 300, 3000)] + ["x" * 30 + "yz" * 40, "solitary", "two words"]
-    rows = by_id(fingerprints.edited_and_next(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
-    assert {i: x["near_edited"] for i, x in rows.items() if x["near_edited"] <= 0.15} == {}
-    assert all(x["near_edited"] > x["near_next"] for x in rows.values())
+    texts = [written(a, n, " ") for a in alphabets for n in (12, 30, 120, 500, 4000)]
+    texts += ["".join(chr(r.randrange(0x4E00, 0x9F00)) for _ in range(n)) for n in (30, 260, 3000)] + [written("abcdef", 4000, "")]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = by_id(fingerprints.edited_and_next(table))
+    assert {i: x["near_edited"] for i, x in rows.items() if x["near_edited"] <= 0.3} == {}
+    assert all(x["near_next"] < 0.1 for x in rows.values())
+    # a text and its beginning, a few characters shorter, are as alike either way
+    long = written("abcdefgh", 420, " ")[:2050]
+    pair = by_id(fingerprints.edited_and_next(spark.createDataFrame([(1, long), (2, long[:2047])], "doc_id long, text string")))
+    assert pair[1]["near_next"] == pair[2]["near_next"] > 0.8
+
+
+def test_fingerprints_of_repeated_rows(spark):
+    rows = [(3, "c c"), (1, "a a"), (1, "a a"), (1, "b b"), (2, None)]
+    got = sorted((r["doc_id"], r["n_chars"]) for r in fingerprints.edited_and_next(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 3), (1, 3), (1, 3), (2, 0), (3, 3)]
 
 
 def test_next_over_many_buckets(spark, monkeypatch):
@@ -418,12 +518,27 @@ def test_next_over_many_buckets(spark, monkeypatch):
 def test_peeling_recovers_the_difference(spark):
     r = random.Random(8)
     lines = [f"sentence number {r.random()} ends here" for _ in range(300)]
-    rows = [(k, "\n".join(lines), "\n".join(lines[:150] + [f"new {j}" for j in range(k)] + lines[150:])) for k in (0, 1, 5, 40)] + [(99, None, "x\n" * 300)]
-    got = by_id(fingerprints.compare(spark.createDataFrame(rows, "doc_id long, old_text string, new_text string")))
-    for k in (0, 1, 5, 40):
-        assert len(got[k]["differing"]) == k and all(d["n"] == -1 for d in got[k]["differing"])
-        assert got[k]["likeness"] == pytest.approx(300 / (300 + k), abs=0.02)
-    assert got[99]["likeness"] == 0
+    rows = [(k, "\n".join(lines), "\n".join(lines[:150] + [f"new {r.random()}" for j in range(k)] + lines[150:])) for k in (0, 1, 5, 40)]
+    rows += [(99, None, "x\n" * 300), (100, "\n".join(lines), " ".join(str(r.random()) for _ in range(3000))), (101, None, "")]
+    got = by_id(fingerprints.compare(spark.createDataFrame(rows, "doc_id long, old_text string, new_text string"), 1))
+    for i, old, new in rows:
+        a, b = (paragraphs([spark_hash(u) for u in UNITS.findall(t or "")], 1) for t in (old, new))
+        found = {(d["n"], d["k"] & (1 << 48) - 1) for d in got[i]["differing"]}
+        assert found == {(1, k) for k in a - b} | {(-1, k) for k in b - a} and len(found) == len(got[i]["differing"])
+        assert got[i]["likeness"] == pytest.approx(2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0)
+
+
+def test_small_sketches_are_tried_again_larger(spark):
+    """Far more differing digests than a first sketch can give away."""
+    r = random.Random(13)
+    keys = [[r.getrandbits(48) for _ in range(n)] for n in (0, 3, 30, 200)]
+    certified = [[k | (spark_hash(k) & 0xFFFF) << 48 for k in x] for x in keys]
+    signed = lambda x: [k - (1 << 64) if k >> 63 else k for k in x]
+    rows = [(i * 4 + j, signed(u), signed(v + u[:2])) for i, u in enumerate(certified) for j, v in enumerate(certified)]
+    out = spark.createDataFrame(rows, "doc_id long, u array<long>, v array<long>").select("doc_id", F.expr(fingerprints.peeled("u", "array_distinct(v)")).alias("found"))
+    for x in out.collect():
+        u, v = (set(y) for y in rows[x["doc_id"]][1:])
+        assert {(d["n"], d["k"]) for d in x["found"]} == {(1, k) for k in u - v} | {(-1, k) for k in v - u}
 
 
 def test_licenses(spark, docs, none):
@@ -439,3 +554,23 @@ def test_licenses(spark, docs, none):
     two = by_id(licenses.scan(spark.createDataFrame([(3, "Licensed under the  apache licence; version 2.0")], "doc_id long, text string")))
     assert two[3]["license_id"] == "Apache-2.0" and two[3]["notices"] == "Apache-2.0"
     assert licenses.scan(none).count() == 0 and licenses.scan(docs).count() == docs.count()
+    whole = {i: t for i, t in licenses.TEXTS}
+    odd = [(1, whole["BSD-3-Clause"].replace("\n\n", "\r\n \r\n").upper()), (2, "Copyright (c) 2001 X\n" + whole["Unlicense"]), (3, "non\ninfringement"), (4, "noninfringement"), (None, "All rights reserved."), (4, "noninfringement")]
+    rows = licenses.scan(spark.createDataFrame(odd, "doc_id long, text string").selectExpr("*", "'x' as digest", "1 as lines")).collect()
+    assert sorted((r["doc_id"], r["license_id"]) for r in rows if r["license_id"]) == [(1, "BSD-3-Clause"), (2, "Unlicense")]
+    assert len(rows) == 5 and len({r["canonical_sha256"] for r in rows if r["doc_id"] > 2}) == 1
+    mine = by_id(licenses.scan(rows_of(spark, [(1, "My Own licence!"), (2, "x\nmy own, LICENSE")]), [("own", "my own license")]))
+    assert mine[1]["license_id"] == "own" and mine[2]["notices"] == "own"
+
+
+def rows_of(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_operators_on_rows_without_id_and_repeated_rows(spark):
+    """Rows without id are left out, every other row counts for itself; names of other columns do not matter."""
+    rows = rows_of(spark, [(None, "left out"), (1, "one two three"), (1, "one two three"), (2, None), (3, "")]).selectExpr("*", "'n' as ids", "7 as length", "0 as block", "1 as rank", "2 as batch", "3 as tie", "4 as bucket")
+    ids = lambda df: sorted(r["doc_id"] for r in df.collect())
+    assert ids(packing.pack(rows, BPE)) == ids(token_output.read_pieces(spark, token_output.write(rows, BPE))) == [1, 1, 2, 3]
+    for out in (sentencepiece_codec.encode(rows, PIECES), sentencepiece_codec.digests(rows, PIECES), licenses.scan(rows), fingerprints.fingerprint(rows), fingerprints.edited_and_next(rows)):
+        assert ids(out) == [1, 1, 2, 3]
