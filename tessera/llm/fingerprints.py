@@ -36,9 +36,9 @@ from .common import stored, texts
 UNIT = 8
 #: Paragraphs of a fingerprint's lowest level, by its number of units; where there are fewer than LEAST, a lower level is
 #: taken, unless that has more than four times PARAGRAPHS.
-PARAGRAPHS, LEAST = 16, 12
+PARAGRAPHS, LEAST = 32, 24
 #: Strata of a level; cells of each of the three tables of a first sketch.
-STRATA, CELLS = 2, 8
+STRATA, CELLS = 4, 8
 #: Differing digests that a stratum of compare() should hold.
 LOAD = 8
 #: Tables of up to 2^16 cells: then every digest has three cells of its own.

@@ -421,14 +421,14 @@ def begun(units, level):
 
 
 def lowest_level(units):
-    first = max(0, int(np.ceil(np.log2(len(units) / 16)))) if units else 0
+    first = max(0, int(np.ceil(np.log2(len(units) / 32)))) if units else 0
     level = None
     for x in range(first, -1, -1):
         n = begun(units, x)
-        if n > 64:
+        if n > 128:
             break
         level = x
-        if n >= 12:
+        if n >= 24:
             break
     return first if level is None else level
 
@@ -472,7 +472,7 @@ def test_fingerprints(spark, docs, none):
         units = [spark_hash(u) for u in UNITS.findall(t)]
         assert low == lowest_level(units) and (not units or begun(units, top) == 1)
         for level in range(low, top + 1) if units else ():
-            held = [strata.get(2 * level + k, {}) for k in (0, 1)]
+            held = [strata.get(4 * level + k, {}) for k in range(4)]
             wanted = paragraphs(units, level)
             for table in range(3):
                 counts = [cells.get(8 * table + c, (0, 0)) for cells in held for c in range(8)]
