@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,15 +25,14 @@ def indentation(text: Column, offset: Column) -> Column:
     return F.regexp_extract(F.substring_index(before, "\n", -1), r"^([ \t]*)", 1)
 
 
-def unused_name(text: Column, name: str, tries: int = 64) -> Column:
-    """The name with as many underscores appended as make it new to the text (at most `tries`)."""
-    wanted = F.transform(F.sequence(F.lit(0), F.lit(tries)), lambda k: F.concat(F.lit(name), F.repeat(F.lit("_"), k)))
-    return F.element_at(F.filter(wanted, lambda w: ~F.contains(text, w)), 1)
+def unused_name(text: Column, name: str) -> Column:
+    """The name with as few underscores appended as make it new to the text: one more than follow it anywhere."""
+    runs = F.regexp_extract_all(text, F.lit(f"(?={re.escape(name)}(_*))"), F.lit(1))
+    more = F.array_max(F.transform(runs, lambda r: F.length(r) + 1))
+    return F.concat(F.lit(name), F.repeat(F.lit("_"), F.coalesce(more, F.lit(0))))
 
 
-def render(name: Column, depth: Column, leaf: Column, unit: str = "  ") -> Column:
-    """A suite's opening line, or a whole pending leaf, at its depth."""
-    pad = F.repeat(F.lit(unit), depth)
+def opening(name: Column, depth: Column, unit: str = "  ") -> Column:
+    """A suite's opening line at its depth."""
     quoted = F.to_json(F.array(name))
-    quoted = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
-    return F.when(leaf, F.concat(pad, F.lit("describe("), quoted, F.lit(", () => { it.todo(\"TODO\"); });"))).otherwise(F.concat(pad, F.lit("describe("), quoted, F.lit(", () => {")))
+    return F.concat(F.repeat(F.lit(unit), depth), F.lit("describe("), F.substring(quoted, F.lit(2), F.length(quoted) - 2), F.lit(", () => {"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RUN = r"^\d{4}-\d{2}-\d{2}-[a-z0-9]+(-[a-z0-9]+)*-\d{4}\.md$"
+#: Names of run records, as documented (fixed value).
+RUN = r"^\d{4}-\d{2}-\d{2}-(all|ts|node[0-9]+)-batch-[0-9]{4}\.(json|md)$"
 
 
 def rollup(evidence: DataFrame, by: list[str] | None = None) -> DataFrame:

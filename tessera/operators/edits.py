@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import opening
+
 
 def overlaps(edits: DataFrame, key: str = "file") -> DataFrame:
     """Edits that begin before the edit ahead of them in their file ends."""
@@ -27,28 +29,26 @@ def apply(texts: DataFrame, edits: DataFrame, key: str = "file") -> DataFrame:
     wanted = edits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("text").alias("put")))).alias("edits"))
     whole = F.encode("text", "UTF-8")
     piece = lambda a, b: F.decode(F.substring(F.col("raw"), a.cast("int") + 1, (b - a).cast("int")), "UTF-8")
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("done"))
-
-    def step(state, edit):
-        ok = F.when(edit["start"] < state["at"], F.raise_error(F.lit("overlapping edits")).cast("string")).otherwise(F.lit(""))
-        return F.struct(edit["end"].cast("bigint").alias("at"), F.concat(state["done"], ok, piece(state["at"], edit["start"]), edit["put"]).alias("done"))
-
-    rows = texts.join(wanted, key, "left").withColumn("raw", whole)
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,put:string>>")
-    out = F.aggregate(F.coalesce(F.col("edits").cast("array<struct<start:bigint,end:bigint,put:string>>"), empty), begin, step, lambda s: F.concat(s["done"], piece(s["at"], F.length("raw").cast("bigint"))))
-    return rows.withColumn("text", out).drop("edits", "raw")
+    kind = "array<struct<start:bigint,end:bigint,put:string>>"
+    rows = texts.join(wanted, key, "left").withColumn("raw", whole).withColumn("edits", F.coalesce(F.col("edits").cast(kind), F.array().cast(kind)))
+    before = lambda i: F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get("edits", i - 1)["end"])
+    bad = F.exists(F.transform("edits", lambda e, i: e["start"] < before(i)), lambda x: x)
+    parts = F.transform("edits", lambda e, i: F.concat(piece(before(i), e["start"]), e["put"]))
+    last = F.coalesce(F.get("edits", F.size("edits") - 1)["end"], F.lit(0).cast("bigint"))
+    out = F.concat(F.array_join(parts, ""), piece(last, F.length("raw").cast("bigint")))
+    return rows.withColumn("text", F.when(bad, F.raise_error(F.lit("overlapping edits")).cast("string")).otherwise(out)).drop("edits", "raw")
 
 
 def render(nodes: DataFrame, unit: str = "  ") -> DataFrame:
-    """Each file's tree of nodes(file, path, callable) as nested suites: one line per node, closing lines after the last
-    node below, nodes in path order."""
-    from ..functions.text import render as line
-
-    name = F.element_at("path", -1)
+    """Each file's tree of nodes(file, path, callable) as nested suites, with a TODO leaf in each callable, closing lines after
+    the last node below, nodes in path order."""
     depth = F.size("path") - 1
-    opened = nodes.select("file", F.struct(F.transform("path", lambda p: F.concat(p, F.lit("\u0000"))).alias("at"), F.lit(0).alias("side"), line(name, depth, F.lit(False), unit).alias("text")).alias("row"))
-    todo = nodes.where("callable").select("file", F.struct(F.transform("path", lambda p: F.concat(p, F.lit("\u0000"))).alias("at"), F.lit(1).alias("side"), F.concat(F.repeat(F.lit(unit), depth + 1), F.lit('it.todo("TODO");')).alias("text")).alias("row"))
-    shut = F.concat(F.transform("path", lambda p: F.concat(p, F.lit("\u0000"))), F.array(F.lit("\U0010ffff")))
-    closed = nodes.select("file", F.struct(shut.alias("at"), F.lit(2).alias("side"), F.concat(F.repeat(F.lit(unit), depth), F.lit("});")).alias("text")).alias("row"))
+    at = F.transform("path", lambda p: F.concat(p, F.lit("\u0000")))
+    row = lambda at, side, text: F.struct(at.alias("at"), F.lit(side).alias("side"), text.alias("text")).alias("row")
+    pad = F.repeat(F.lit(unit), depth)
+    leaf = F.concat(pad, F.lit(f'{unit}it("TODO", () => {{\n'), pad, F.lit(f"{unit}{unit}// TODO\n"), pad, F.lit(f"{unit}}});"))
+    opened = nodes.select("file", row(at, 0, opening(F.element_at("path", -1), depth, unit)))
+    todo = nodes.where("callable").select("file", row(at, 1, leaf))
+    closed = nodes.select("file", row(F.concat(at, F.array(F.lit("\U0010ffff"))), 2, F.concat(pad, F.lit("});"))))
     rows = opened.unionByName(todo).unionByName(closed)
     return rows.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda r: r["text"]), "\n").alias("text"))

@@ -80,8 +80,11 @@ def infer(fns: DataFrame, sites: DataFrame, regions: DataFrame, models: DataFram
     if models is not None:
         base = base.unionByName(carried(models.select(F.col("callee").alias("fn_id"), "channel", "error_type")))
         known = known.unionByName(models.select("callee"))
-    foreign = calls.join(known.distinct(), "callee", "left_anti").where("not caught")
-    base = base.unionByName(foreign.select("fn_id", _raised(F.lit("throws")).alias("channel"), F.lit(UNKNOWN).alias("error_type")))
+    foreign = calls.join(known.distinct(), "callee", "left_anti")
+    # a returned promise leaves a try around it, so what it may be rejected with is not handled there
+    gone = F.col("caught") & ~F.col("awaited") & F.col("returned") & ~F.col("consumed")
+    channel = F.when(~F.col("caught"), _raised(F.lit("throws"))).when(gone, F.lit("rejects"))
+    base = base.unionByName(foreign.select("fn_id", channel.alias("channel"), F.lit(UNKNOWN).alias("error_type")).where("channel is not null"))
     if extra is not None:
         base = base.unionByName(extra.select(EFFECT))
     return fixpoint(base.select(EFFECT), carried)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.fixpoint import reachable
@@ -50,11 +50,13 @@ def prune(nodes: DataFrame) -> DataFrame:
 def resolve(references: DataFrame, nodes: DataFrame) -> DataFrame:
     """references(file, path, scope, target, ...) with `resolved`: the target under the innermost scope that declares it
     (null: nowhere). The depth is chosen before anything else is joined, so an empty shape still wins."""
-    tried = references.withColumn("ref", F.xxhash64(*references.columns)).withColumn("depth", F.explode(F.sequence(F.lit(0), F.size("scope"))))
+    key = [F.coalesce(F.col(c).cast("string") if dict(references.dtypes)[c] != "array<string>" else F.to_json(c), F.lit("")) for c in references.columns]
+    ref = F.md5(F.to_json(F.array(*key)))  # 128 bits
+    tried = references.withColumn("ref", ref).withColumn("depth", F.explode(F.sequence(F.lit(0), F.size("scope"))))
     tried = tried.withColumn("candidate", F.concat(F.slice("scope", F.lit(1), F.col("depth")), F.col("target")))
     known = nodes.select(F.col("file"), F.col("path").alias("candidate")).distinct()
     hits = tried.join(known, ["file", "candidate"]).groupBy("ref").agg(F.max_by("candidate", "depth").alias("resolved"))
-    return references.withColumn("ref", F.xxhash64(*references.columns)).join(hits, "ref", "left").drop("ref")
+    return references.withColumn("ref", ref).join(hits, "ref", "left").drop("ref")
 
 
 def expand(references: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -90,8 +92,3 @@ def first_pending(leaves: DataFrame) -> DataFrame:
 def in_library(nodes: DataFrame, name: Column) -> DataFrame:
     """Paths below a library's root level."""
     return nodes.withColumn("path", F.concat(F.array(name), F.col("path")))
-
-
-def innermost(candidates: DataFrame, by: list[str], depth: str) -> DataFrame:
-    """The deepest row of each group."""
-    return candidates.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(depth)))).where("__n = 1").drop("__n")

@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 from .store import kept
 
 
+#: Rounds whose tables are read one by one before they are put together.
+COMPACT = 16
+
+
 def fixpoint(base: DataFrame, step: Callable[[DataFrame], DataFrame], limit: int = 10_000) -> DataFrame:
     """The least set that holds base and step(of itself). step takes the newly found rows and returns rows of base's
     columns; it must be monotone. Nulls count as equal."""
     columns = base.columns
     found = kept(base.distinct())
     delta = found
-    for _ in range(limit):
+    for n in range(limit):
         same = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in columns]
         on = same[0]
         for s in same[1:]:
@@ -26,6 +30,8 @@ def fixpoint(base: DataFrame, step: Callable[[DataFrame], DataFrame], limit: int
         if delta.isEmpty():
             return found
         found = found.unionByName(delta)
+        if (n + 1) % COMPACT == 0:  # one table again, so that plans do not grow with the rounds
+            found = kept(found)
     raise RuntimeError(f"no fixed point within {limit} rounds")
 
 

@@ -26,14 +26,14 @@ def generate(files: DataFrame, tests: DataFrame, previous: DataFrame, *, node: b
     return {"inventory": desired, "writes": manifest.plan(made, tests), "report": snapshot.report(made, tests)}
 
 
-def pending(inventory: DataFrame, tests: DataFrame, kind: str, limit: int, after: str | None = None) -> DataFrame:
+def pending(inventory: DataFrame, tests: DataFrame, kind: str, limit: int, after: str | None = None, node_version: str = "24") -> DataFrame:
     """A page of the pending queue of one inventory and its test files."""
     stem = F.regexp_replace("file", r"\.test\.ts$", "")
     path = F.concat(F.array(library_name(stem)), F.col("path")) if kind == "ts" else F.col("path")
     rows = inventory.where("callable").select(F.lit(kind).alias("kind"), stem.alias("lib"), "file", path.alias("path"))
     roots = rows.select("file", F.slice("path", 1, 1).alias("path"))
     found = suites.read_suites(tests, rows.select("file", "path").unionByName(roots).distinct())
-    return queue.page(rows, found, limit, kind=kind, after=after, texts=tests, strict=True)
+    return queue.page(rows, found, limit, kind=kind, after=after, texts=tests, node_version=node_version)
 
 
 def read_and_generate(spark: SparkSession, root: str, tests: DataFrame, previous: DataFrame, *, node: bool = False) -> dict[str, DataFrame]:

@@ -13,6 +13,8 @@ from ..operators import audit, edits, effects, inventory, native, queue, snapsho
 from ..sources import declarations, suites
 from .fixpoint import reachable
 
+#: The market segments of the tables' generator (fixed values).
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -60,7 +62,7 @@ def _page_callables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queue_rows(spark: SparkSession, sf_dir: str, limit: int = 50) -> DataFrame:
     rows = _page_callables(spark, sf_dir)
     have = rows.select("file", "path", F.when(F.col("page_id") % 3 == 0, F.col("page_id")).alias("pending"))
-    return queue.page(rows.drop("page_id"), have, limit, kind="node", after="a").select("id", "name", "evidence_file", "pending")
+    return queue.page(rows.drop("page_id"), have, limit, kind="node", after="node/24/a").select("id", "node_version", "test_file", _joined("describe_path").alias("describe_path"), "evidence_file", "pending")
 
 
 _QUEUE = f"""
@@ -69,8 +71,9 @@ g as (select file, path, min(page_id) as page_id from c group by 1, 2),
 n as (select *, to_json(path)::varchar as key, {_slug_sql('path')} as slug from g),
 m as (select *, count(*) over (partition by file, slug) as k from n),
 e as (select *, case when k > 1 or length(slug) > 180 or slug in ('.', '..') then substr(slug, 1, 180) || '~' || {_fnv_sql('key')} else slug end as name from m)
-select file || '::' || key as id, name, 'evidence/node/' || file || '/' || name || '.md' as evidence_file, page_id as pending
-from e where page_id % 3 = 0 and file || '::' || key > 'a' order by id limit 50"""
+select 'node/24/' || file || '::' || key as id, '24' as node_version, 'node/24/' || file as test_file, array_to_string(path, '/') as describe_path,
+  'node/24/' || file || '/' || name || '.md' as evidence_file, page_id as pending
+from e where page_id % 3 = 0 and 'node/24/' || file || '::' || key > 'node/24/a' order by id limit 50"""
 
 
 @query(_QUEUE)
@@ -128,13 +131,13 @@ def tree_prune(spark, sf_dir):
 
 
 @query("""
-with s as (select distinct c_mktsegment as seg from customer), n as (select n_nationkey, n_regionkey, n_name, r_name from nation join region on n_regionkey = r_regionkey)
+with s as (select unnest(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY']) as seg), n as (select n_nationkey, n_regionkey, n_name, r_name from nation join region on n_regionkey = r_regionkey)
 select n_name as path, seg as target, case when n_nationkey % 5 = 0 then r_name || '/' || n_name || '/' || seg
   when n_regionkey % 2 = 0 then r_name || '/' || seg when seg < 'C' then seg end as resolved from n, s""")
 def scope_resolve(spark, sf_dir):
     nation = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    # the distinct segments are a handful of constants of the schema
-    rows = nation.withColumn("k", F.lit(1)).join(_t(spark, sf_dir, "customer").select("c_mktsegment").distinct().withColumn("k", F.lit(1)), "k")
+    segments = F.array(*map(F.lit, SEGMENTS))
+    rows = nation.withColumn("c_mktsegment", F.explode(segments))
     target = F.array("c_mktsegment")
     refs = rows.select(F.lit("f").alias("file"), F.array("n_name").alias("path"), F.array("r_name", "n_name").alias("scope"), target.alias("target"))
     nodes = [rows.where("c_mktsegment < 'C'").select(target), rows.where("n_regionkey % 2 = 0").select(F.array("r_name", "c_mktsegment")), rows.where("n_nationkey % 5 = 0").select(F.array("r_name", "n_name", "c_mktsegment"))]
@@ -255,7 +258,7 @@ _CALLS = """with recursive t as (select conv_id, turn, min(role) as role, min(le
 f as (select conv_id || ':' || turn as fn, conv_id || ':' || (turn + 1) as callee, role = 'assistant' as is_async, turn, turn % 2 = 0 as awaited, turn % 3 = 0 as returned, n % 5 = 0 as consumed, n % 6 = 0 as caught,
   n % 4 = 0 and n % 8 <> 0 as thrown, 'E' || (n % 3) as err from t),
 eff as (select fn, case when is_async then 'rejects' else 'throws' end as channel, err from f where thrown
-  union select fn, case when is_async then 'rejects' else 'throws' end, 'unknown' from f where not caught and callee not in (select fn from f)
+  union select fn, case when is_async or caught then 'rejects' else 'throws' end, 'unknown' from f where (not caught or not awaited and returned and not consumed) and callee not in (select fn from f)
   union select f.fn, case when e.channel = 'throws' or f.awaited then case when f.is_async then 'rejects' else 'throws' end else 'rejects' end, e.err
   from eff e join f on f.callee = e.fn where (e.channel = 'throws' and not f.caught) or (e.channel = 'rejects' and f.awaited and not f.consumed and not f.caught)
     or (e.channel = 'rejects' and not f.awaited and f.returned and not f.consumed))"""
@@ -441,7 +444,7 @@ def duplicate_suites(spark, sf_dir):
     return inventory.duplicates(rows).select("file", _joined(), "count")
 
 
-@query("select r_name as file, sha256(string_agg('describe(\"' || n_name || '\", () => {' || chr(10) || '  it.todo(\"TODO\");' || chr(10) || '});', chr(10) order by n_name)) as text_sha256 from nation join region on n_regionkey = r_regionkey group by 1")
+@query("select r_name as file, sha256(string_agg('describe(\"' || n_name || '\", () => {' || chr(10) || '  it(\"TODO\", () => {' || chr(10) || '    // TODO' || chr(10) || '  });' || chr(10) || '});', chr(10) order by n_name)) as text_sha256 from nation join region on n_regionkey = r_regionkey group by 1")
 def render_tree(spark, sf_dir):
     rows = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     nodes = rows.select(F.col("r_name").alias("file"), F.array("n_name").alias("path"), F.lit(True).alias("callable"))
@@ -499,8 +502,8 @@ def key_names(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", naming.member_key(F.col("p_name"), k % 2 == 0).alias("member"), naming.module_name(module).alias("module"), naming.test_file(path, False).alias("file"))
 
 
-@query("with recursive k as (select 0 as i union all select i + 1 from k where i < 8), d as (select doc_id, text from documents where text is not null) select doc_id, min(i)::int as underscores from d, k where not contains(text || case when doc_id % 3 = 0 then 'x____' else 'x' end, 'x' || repeat('_', i)) group by 1")
+@query("select doc_id, (1 + list_max(list_transform(regexp_extract_all(text || 'x' || repeat('_', (doc_id % 90)::int), 'x(_*)', 1), lambda r: length(r))))::int as underscores from documents where text is not null")
 def unused_names(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").where("text is not null")
-    body = F.concat("text", F.when(F.col("doc_id") % 3 == 0, "x____").otherwise("x"))
+    body = F.concat("text", F.lit("x"), F.repeat(F.lit("_"), (F.col("doc_id") % 90).cast("int")))
     return docs.select("doc_id", (F.length(text.unused_name(body, "x")) - 1).alias("underscores"))

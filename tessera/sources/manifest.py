@@ -47,25 +47,31 @@ def read(manifests: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["kind", "version", "source", "file", "path", "callable"])
 
     rows = manifests.select("kind", "text").mapInPandas(run, "kind string, version int, source string, file string, path array<string>, callable boolean")
-    good = check(F.col("version") == VERSION, "unsupported manifest version") & check(F.col("file").rlike(SAFE), F.concat(F.lit("unsafe path "), "file"))
+    good = check(F.col("version") == VERSION, "unsupported manifest version") & check_path(F.col("file"))
     return rows.where(good).drop("version")
 
 
 def write_text(nodes: DataFrame, source: str) -> DataFrame:
-    """One row with the manifest of nodes(file, path, callable) as pretty JSON."""
+    """One row with the manifest of nodes(file, path, callable) as JSON. Each file's tree is made by itself; only their texts
+    come together, as they must in one document."""
     import pandas as pd
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        files: dict = {}
-        for file, path, callable_ in sorted(zip(rows["file"], rows["path"], rows["callable"], strict=True), key=lambda r: (r[0], list(r[1]))):
-            at = files.setdefault(file, {})
+        tree: dict = {}
+        for path, callable_ in sorted(zip(rows["path"], rows["callable"], strict=True), key=lambda r: list(r[0])):
+            at = tree
             for part in path:
                 at = at.setdefault("children", {}).setdefault(part, {})
             if callable_:
                 at["callable"] = True
-        return pd.DataFrame({"text": [json.dumps({"version": VERSION, "source": source, "files": files}, indent=2, ensure_ascii=False, sort_keys=True) + "\n"]})
+        body = json.dumps(tree, indent=2, ensure_ascii=False, sort_keys=True).replace("\n", "\n    ")
+        return pd.DataFrame({"file": [key[0]], "body": [f"    {json.dumps(key[0], ensure_ascii=False)}: {body}"]})
 
-    return nodes.groupBy(F.lit(1)).applyInPandas(run, "text string")
+    each = nodes.groupBy("file").applyInPandas(run, "file string, body string")
+    bodies = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "body"))), lambda r: r["body"]), ",\n")
+    start = '{\n  "files": {\n'
+    end = f'\n  }},\n  "source": {json.dumps(source, ensure_ascii=False)},\n  "version": {VERSION}\n}}\n'
+    return each.agg(F.concat(F.lit(start), bodies, F.lit(end)).alias("text"))
 
 
 def package_gate(package: str, major: int, name: str = "@types/node") -> str:
@@ -88,17 +94,37 @@ def plan(generated: DataFrame, current: DataFrame) -> DataFrame:
     return changed(generated, current)
 
 
-def write(spark: SparkSession, plan: DataFrame, root: str) -> int:
-    """Writes planned texts as rows of a Parquet table under root, after all of them are computed; returns how many."""
-    from ..plans.store import kept
+def present(spark: SparkSession, root: str, pattern: str = "*.ts") -> DataFrame:
+    """file (relative to root) and text of the files of a tree."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
+    return files.select(F.substring_index("path", root.rstrip("/") + "/", -1).alias("file"), F.decode("content", "UTF-8").alias("text"))
 
-    ready = kept(plan)
-    n = ready.count()
-    if n:
-        ready.write.mode("append").parquet(root)
-    return n
 
+def write(spark: SparkSession, plan: DataFrame, root: str, check: bool = False) -> list[str]:
+    """Writes each planned file, after all of them are computed, through Spark's file systems; returns their names in order.
+    check only tells them. Texts pass through the driver one at a time: a tree of sources is meant, not a corpus."""
+    from ..plans.store import kept
 
-def page_json(page: DataFrame) -> str:
-    """A bounded result page as one JSON array; null fields are left out."""
-    return json.dumps([json.loads(r) for r in page.toJSON().collect()], indent=2, ensure_ascii=False)
+    ready = kept(plan.where(check_path(F.col("file"))).select("file", "text"))
+    names = sorted(r["file"] for r in ready.select("file").collect())
+    if check:
+        return names
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for r in ready.toLocalIterator():
+        path = hadoop.Path(f"{root.rstrip('/')}/{r['file']}")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray((r["text"] or "").encode()))
+        out.close()
+    return names
+
+
+def check_path(file: Column) -> Column:
+    return check(file.rlike(SAFE), F.concat(F.lit("unsafe path "), file))
+
+
+def page_json(page: DataFrame) -> DataFrame:
+    """A result page as one row with a JSON array in the page's order, null fields left out."""
+    whole = F.struct(*page.columns)
+    ordered = page.select(F.struct(F.monotonically_increasing_id().alias("at"), F.to_json(whole).alias("row")).alias("r"))
+    rows = F.transform(F.array_sort(F.collect_list("r")), lambda r: r["row"])
+    return ordered.agg(F.concat(F.lit("["), F.array_join(rows, ","), F.lit("]")).alias("json"))

@@ -33,18 +33,25 @@ def test_edits(spark):
 def test_pages_are_stable(spark):
     rows = frame(spark, [("node", "fs", "fs.test.ts", ["node:fs", n]) for n in "abcde"], "kind string, lib string, file string, path array<string>")
     suites = frame(spark, [("fs.test.ts", ["node:fs", n], None if n == "b" else i) for i, n in enumerate("abcde")], "file string, path array<string>, pending long")
+    path = lambda page: [r["describe_path"][1] for r in page.collect()]
     first = queue.page(rows, suites, 2).collect()
-    assert [r["path"][1] for r in first] == ["a", "c"]
-    assert [r["path"][1] for r in queue.page(rows, suites, 9, after=first[-1]["id"]).collect()] == ["d", "e"]
+    assert [r["describe_path"][1] for r in first] == ["a", "c"]
+    assert path(queue.page(rows, suites, 9, after=first[-1]["id"])) == ["d", "e"]
     done = suites.withColumn("pending", F.when(F.col("path")[1] != "a", F.col("pending")))
-    assert [r["path"][1] for r in queue.page(rows, done, 1, after=first[0]["id"]).collect()] == ["c"]
-    assert first[0]["evidence_file"] == "evidence/node/fs/node%3Afs#a.md"
-    for wrong in ({"limit": 0}, {"limit": -1}, {"limit": 1, "kind": "web"}):
-        with pytest.raises(ValueError, match="limit|kind"):
+    assert path(queue.page(rows, done, 1, after=first[0]["id"])) == ["c"]
+    assert first[0]["id"] == 'node/24/fs.test.ts::["node:fs","a"]' and first[0]["evidence_file"] == "node/24/fs/node%3Afs#a.md"
+    assert (first[0]["node_version"], first[0]["test_file"]) == ("24", "node/24/fs.test.ts")
+    ts = queue.page(rows.withColumn("kind", F.lit("ts")), suites, 1, root="/out").first()
+    assert (ts["id"], ts["node_version"], ts["test_file"]) == ('ts/fs.test.ts::["node:fs","a"]', None, "/out/ts/fs.test.ts")
+    for wrong in ({"limit": 0}, {"limit": -1}, {"limit": 1, "kind": "web"}, {"limit": 1, "node_version": "v24"}):
+        with pytest.raises(ValueError, match="limit|kind|major"):
             queue.page(rows, suites, **wrong)
+    # d has no suite: an error where the page reaches it, and only there
+    fewer = suites.where("pending is null or pending <> 3")
+    assert path(queue.page(rows, fewer, 2)) == ["a", "c"] and path(queue.page(rows, fewer, 9, after='node/24/fs.test.ts::["node:fs","d"]')) == ["e"]
     with pytest.raises(Exception, match="missing"):
-        queue.page(rows, suites.where("pending > 1"), 9, strict=True).collect()
-    assert queue.page(rows, suites.where("pending > 1"), 9, after="fs.test.ts::[\"node:fs\",\"b", strict=False).count() == 3
+        queue.page(rows, fewer, 3).collect()
+    assert path(queue.page(rows, fewer, 9, strict=False)) == ["a", "c", "e"]
 
 
 FN = "fn_id string, is_async boolean, user_written boolean"
@@ -53,7 +60,7 @@ REGION = "region_id string, parent_id string, fn_id string, kind string"
 
 
 def test_effects(spark):
-    fns = frame(spark, [(n, n.startswith("a"), True) for n in ("raise", "araise", "safe", "await", "loose", "ret", "rec1", "rec2", "lib", "tryloose", "<root>")], FN)
+    fns = frame(spark, [(n, n.startswith("a"), True) for n in ("raise", "araise", "safe", "await", "loose", "ret", "rec1", "rec2", "lib", "tryloose", "tryunknown", "<root>")], FN)
     sites = frame(
         spark,
         [
@@ -70,6 +77,7 @@ def test_effects(spark):
             ("11", "lib", "call", "mystery", None, False, False, False, None),
             ("12", "tryloose", "call", "araise", None, False, True, False, "inner2"),
             ("13", "<root>", "call", "raise", None, False, False, False, None),
+            ("14", "tryunknown", "call", "mystery", None, False, True, False, "inner2"),
         ],
         SITE,
     )
@@ -82,12 +90,12 @@ def test_effects(spark):
     assert got == {
         "raise": {("throws", "Error")}, "araise": {("rejects", "E2")}, "await": {("rejects", "E2")}, "ret": {("rejects", "E2")},
         "rec1": {("throws", "Error")}, "rec2": {("throws", "Error")}, "lib": {("throws", "SyntaxError"), ("throws", "unknown")},
-        "tryloose": {("rejects", "E2")}, "<root>": {("throws", "Error")},
+        "tryloose": {("rejects", "E2")}, "tryunknown": {("rejects", "unknown")}, "<root>": {("throws", "Error")},
     }
     assert [r["site_id"] for r in effects.unhandled_promises(found, sites).collect()] == ["5"]
     contracts = frame(spark, [("raise", "Error"), ("rec1", "Other"), ("safe", None)], "fn_id string, error_type string")
     assert {tuple(r)[:3] for r in effects.contract_check(found, contracts).collect()} == {("rec1", "Error", "missing"), ("rec1", "Other", "extra")}
-    assert {r["fn_id"] for r in effects.implicit_contracts(found, fns, contracts).collect()} == {"araise", "await", "ret", "rec2", "lib", "tryloose", "<root>"}
+    assert {r["fn_id"] for r in effects.implicit_contracts(found, fns, contracts).collect()} == {"araise", "await", "ret", "rec2", "lib", "tryloose", "tryunknown", "<root>"}
     assert effects.unhandled_root(found).count() == 1
 
 
@@ -118,8 +126,8 @@ def test_native(spark):
 def test_audit(spark):
     rows = frame(spark, [("complete",), (" Blocked",), ("complete",)], "status string")
     assert tuple(audit.rollup(rows).first()) == (3, 2, 1)
-    names = frame(spark, [("2026-10-29-all-batch-0001.md",), ("notes.md",)], "n string")
-    assert [r[0] for r in names.select(audit.is_run_record(F.col("n"))).collect()] == [True, False]
+    names = {"2026-10-29-all-batch-0001.md": True, "2026-10-29-node24-batch-0012.json": True, "notes.md": False, "2026-10-29-web-batch-0001.md": False, "2026-10-29-all-0001.md": False, "2026-10-29-ts-batch-1.md": False}
+    assert {r[0]: r[1] for r in frame(spark, [(n,) for n in names], "n string").select("n", audit.is_run_record(F.col("n"))).collect()} == names
     packed = audit.packaged(frame(spark, [('[{"id":"ts"},{"id":"js"}]',)], "json string")).collect()
     assert [tuple(r) for r in packed] == [(0, "ts", "onLanguage:ts"), (1, "js", "onLanguage:js")]
 
@@ -133,4 +141,4 @@ def test_whole_synchronisation_is_idempotent(spark):
     inventory = frame(spark, [tuple(r) for r in first["inventory"].collect()], "file string, path array<string>, callable boolean")
     assert generate(files, written, inventory)["writes"].count() == 0
     page = pending(inventory, written, "ts", 5).collect()
-    assert [r["path"] for r in page] == [["ES5", "A", "f"], ["ES5", "A", "g"]] and page[0]["line"] == 7
+    assert [r["describe_path"] for r in page] == [["ES5", "A", "f"], ["ES5", "A", "g"]] and page[0]["line"] == 7
