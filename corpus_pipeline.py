@@ -31,8 +31,9 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts all words that windows of 35 words which occur elsewhere cover; n_chars follows the text."""
-    cut = substring_dedup.dedup(docs).select(docs.columns)
+    """Cuts all words that windows of 35 words which occur elsewhere cover; n_chars follows the text. (Levels of longer windows
+    would only tell how long repeats are: what they cover, the first level covers.)"""
+    cut = substring_dedup.dedup(docs, levels=False).select(docs.columns)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 

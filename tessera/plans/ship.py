@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -22,5 +23,7 @@ def ship(spark: SparkSession) -> None:
     with tempfile.TemporaryDirectory() as place:
         source = Path(place, "source")
         shutil.copytree(_ROOT / "tessera", source / "tessera", ignore=shutil.ignore_patterns("__pycache__"))
-        spark.sparkContext.addPyFile(shutil.make_archive(str(Path(tempfile.mkdtemp(), "tessera")), "zip", source))
+        served = tempfile.mkdtemp()  # by the driver, as long as it runs
+        atexit.register(shutil.rmtree, served, ignore_errors=True)
+        spark.sparkContext.addPyFile(shutil.make_archive(str(Path(served, "tessera")), "zip", source))
     _shipped.add(app)
