@@ -33,7 +33,11 @@ def changelog(commits: DataFrame, tag: str = "bin") -> DataFrame:
     return rows.groupBy("label").agg(F.transform(F.array_sort(F.collect_list("entry")), lambda e: e["text"]).alias("entries"))
 
 
+def packaged_columns() -> Column:
+    """index and entry of each object with id in the JSON array `json`."""
+    return F.posexplode(F.from_json("json", "array<struct<id:string>>")).alias("index", "entry")
+
+
 def packaged(entries: DataFrame, prefix: str = "onLanguage:") -> DataFrame:
     """entries(json: an array of objects with id) as rows of position, id and the prefixed id."""
-    found = F.from_json("json", "array<struct<id:string>>")
-    return entries.select(F.posexplode(found).alias("index", "entry")).select("index", F.col("entry.id").alias("id"), F.concat(F.lit(prefix), "entry.id").alias("event"))
+    return entries.select(packaged_columns()).select("index", F.col("entry.id").alias("id"), F.concat(F.lit(prefix), "entry.id").alias("event"))

@@ -33,18 +33,20 @@ def handled(sites: DataFrame, regions: DataFrame) -> DataFrame:
     return sites.join(guarded, "region_id", "left").withColumn("caught", F.coalesce("guarded", F.lit(False))).drop("guarded")
 
 
+_TAKES = F.col("kind").isin("catch", "then2") | ((F.col("kind") == "finally") & F.col("error_type").isNotNull())
+
+
 def chains(sites: DataFrame, steps: DataFrame) -> DataFrame:
-    """sites with consumed: a step of their promise chain handles rejections."""
-    ends = steps.where(F.col("kind").isin("catch", "then2")).select("site_id").distinct().withColumn("c", F.lit(True))
-    return sites.join(ends, "site_id", "left").withColumn("consumed", F.coalesce("c", F.lit(False))).drop("c")
+    """sites with consumed: a step of their promise chain handles rejections, or is a finally that throws in their place."""
+    ends = steps.where(_TAKES).select("site_id").distinct().withColumn("c", F.lit(True))
+    return sites.drop("consumed").join(ends, "site_id", "left").withColumn("consumed", F.coalesce("c", F.lit(False))).drop("c")
 
 
-def handlers(sites: DataFrame, steps: DataFrame) -> DataFrame:
-    """Errors that chain handlers raise themselves: fn_id, rejects, error_type; those that a later handler takes are left
-    out."""
-    last = steps.where(F.col("kind").isin("catch", "then2")).groupBy("site_id").agg(F.max("step").alias("last"))
+def handlers(steps: DataFrame) -> DataFrame:
+    """site_id and error_type of what the steps of a chain raise themselves and no later step takes."""
+    last = steps.where(_TAKES).groupBy("site_id").agg(F.max("step").alias("last"))
     own = steps.where("error_type is not null").join(last, "site_id", "left").where(F.col("last").isNull() | (F.col("step") >= F.col("last")))
-    return own.join(sites.select("site_id", "fn_id"), "site_id").select("fn_id", F.lit("rejects").alias("channel"), "error_type")
+    return own.select("site_id", F.col("error_type").alias("raised")).distinct()
 
 
 def _raised(sync: Column) -> Column:
@@ -52,9 +54,12 @@ def _raised(sync: Column) -> Column:
     return F.when(F.col("is_async"), F.lit("rejects")).otherwise(sync)
 
 
-def infer(fns: DataFrame, sites: DataFrame, regions: DataFrame, models: DataFrame | None = None, extra: DataFrame | None = None) -> DataFrame:
-    """The effects of every function. sites need awaited, returned and consumed; models(callee, channel, error_type) say
-    what functions outside do; calls of what neither has are unknown. extra are effects given from elsewhere."""
+def infer(fns: DataFrame, sites: DataFrame, regions: DataFrame, models: DataFrame | None = None, extra: DataFrame | None = None, steps: DataFrame | None = None) -> DataFrame:
+    """The effects of every function. sites need awaited, returned, and consumed unless their chains' steps are given;
+    models(callee, channel, error_type) say what functions outside do; calls of what neither has are unknown. extra are
+    effects given from elsewhere. What a chain's steps raise leaves with its promise: where that is awaited, or returned."""
+    if steps is not None:
+        sites = chains(sites, steps)
     marked = handled(sites, regions).join(fns.select("fn_id", "is_async"), "fn_id")
     thrown = marked.where("kind = 'throw' and not caught").select("fn_id", _raised(F.lit("throws")).alias("channel"), "error_type")
     calls = marked.where(F.col("kind").isin("call", "iterate"))
@@ -85,6 +90,9 @@ def infer(fns: DataFrame, sites: DataFrame, regions: DataFrame, models: DataFram
     gone = F.col("caught") & ~F.col("awaited") & F.col("returned") & ~F.col("consumed")
     channel = F.when(~F.col("caught"), _raised(F.lit("throws"))).when(gone, F.lit("rejects"))
     base = base.unionByName(foreign.select("fn_id", channel.alias("channel"), F.lit(UNKNOWN).alias("error_type")).where("channel is not null"))
+    if steps is not None:
+        left = F.when(F.col("awaited") & ~F.col("caught"), _raised(F.lit("throws"))).when(~F.col("awaited") & F.col("returned"), F.lit("rejects"))
+        base = base.unionByName(marked.join(handlers(steps), "site_id").select("fn_id", left.alias("channel"), F.col("raised").alias("error_type")).where("channel is not null"))
     if extra is not None:
         base = base.unionByName(extra.select(EFFECT))
     return fixpoint(base.select(EFFECT), carried)

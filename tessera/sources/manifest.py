@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,7 +57,7 @@ def write_text(nodes: DataFrame, source: str) -> DataFrame:
     come together, as they must in one document."""
     import pandas as pd
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         tree: dict = {}
         for path, callable_ in sorted(zip(rows["path"], rows["callable"], strict=True), key=lambda r: list(r[0])):
             at = tree
@@ -94,10 +95,15 @@ def plan(generated: DataFrame, current: DataFrame) -> DataFrame:
     return changed(generated, current)
 
 
+def below(root: str) -> Column:
+    """The part of a file's path below a folder, however its scheme and host are written."""
+    return F.substring_index("path", re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?", "", root).rstrip("/") + "/", -1)
+
+
 def present(spark: SparkSession, root: str, pattern: str = "*.ts") -> DataFrame:
     """file (relative to root) and text of the files of a tree."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
-    return files.select(F.substring_index("path", root.rstrip("/") + "/", -1).alias("file"), F.decode("content", "UTF-8").alias("text"))
+    return files.select(below(root).alias("file"), F.decode("content", "UTF-8").alias("text"))
 
 
 def write(spark: SparkSession, plan: DataFrame, root: str, check: bool = False) -> list[str]:

@@ -103,7 +103,9 @@ def test_chains_and_narrowing(spark):
     sites = frame(spark, [("1", "f", "call", "g", None, False, False, None)], "site_id string, fn_id string, kind string, callee string, error_type string, awaited boolean, returned boolean, region_id string")
     steps = frame(spark, [("1", 1, "then", "A"), ("1", 2, "catch", "B"), ("1", 3, "then", "C")], "site_id string, step int, kind string, error_type string")
     assert effects.chains(sites, steps).first()["consumed"]
-    assert {r["error_type"] for r in effects.handlers(sites, steps).collect()} == {"B", "C"}
+    assert {r["raised"] for r in effects.handlers(steps).collect()} == {"B", "C"}
+    ended = steps.unionByName(frame(spark, [("1", 4, "finally", "D")], steps.schema))
+    assert {r["raised"] for r in effects.handlers(ended).collect()} == {"D"}
     bound = frame(spark, [("r", t) for t in ("Custom", "Error", '"NOPE"')], "region_id string, error_type string")
     tests = frame(spark, [("r", 1, "Custom"), ("r", 2, "Error")], "region_id string, branch int, type string")
     got = {r["error_type"]: r["branch"] for r in effects.narrow(bound, tests, frame(spark, [("Custom", "Error")], "sub string, super string")).collect()}
