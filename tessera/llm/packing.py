@@ -2,9 +2,9 @@
 
 A document longer than a sequence fills whole sequences and leaves one rest. The histogram of piece lengths (at most as
 many bins as a sequence has tokens) is a cutting-stock problem: a linear program over patterns (multisets of lengths that
-fit a sequence), solved by a revised simplex whose columns are priced by a knapsack dynamic program. Its pattern counts
-are rounded down, patterns are repeated while the rest can fill them, and what is left is packed longest first (on a
-small histogram, where rounding costs more than the program gains, everything is).
+fit a sequence), solved by a revised simplex whose columns are priced by a knapsack dynamic program, until a bound shows
+it within GAP of its best value, or for ROUNDS rounds (then the gap reached is logged). Its pattern counts are rounded
+down, patterns are repeated while the rest can fill them, and what is left is packed longest first.
 Pieces are ranked within their length; each rank belongs to one slot of the plan, so the assignment is arithmetic on a
 plan of bounded size, whatever the corpus. Only the histogram reaches the driver.
 
@@ -14,6 +14,7 @@ are packed each; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +31,8 @@ SIZE = 1024
 BLOCK = 2_000
 #: The linear program ends when a bound shows it within this share of its best value.
 GAP = 2e-4
+#: Rounds of pricing at most; each enters up to 24 columns.
+ROUNDS = 60
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
 _PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
@@ -127,7 +130,7 @@ def start(lengths: np.ndarray, demand: np.ndarray, size: int) -> tuple[np.ndarra
     return basis, inverse
 
 
-def solve(lengths: np.ndarray, demand: np.ndarray, size: int, gap: float = GAP, rounds: int = 20, columns: int = 24) -> list[tuple[np.ndarray, float]]:
+def solve(lengths: np.ndarray, demand: np.ndarray, size: int, gap: float = GAP, rounds: int = ROUNDS, columns: int = 24) -> list[tuple[np.ndarray, float]]:
     """Patterns and how often the linear program uses each. `lengths` ascend. Each round prices by one knapsack and
     enters several of the columns that it offers."""
     m = len(lengths)
@@ -138,7 +141,7 @@ def solve(lengths: np.ndarray, demand: np.ndarray, size: int, gap: float = GAP,
     for _ in range(rounds):
         price = np.maximum(inverse.sum(0), 0)
         best, last = knapsack(price, lengths, size)
-        if best[size] <= 1 + 1e-9 or 1 - 1 / best[size] < gap:
+        if best[size] <= 1 + 1e-9 or 1 - 1 / best[size] < gap:  # value / best[size] bounds the best value from below
             break
         offers = price + best[size - lengths]  # the best pattern that holds each length
         entered = 0
@@ -165,6 +168,8 @@ def solve(lengths: np.ndarray, demand: np.ndarray, size: int, gap: float = GAP,
             entered += 1
         if not entered:
             break
+    else:
+        logging.getLogger(__name__).warning("column generation ended within %.2g of its bound after %d rounds", 1 - 1 / best[size], rounds)
     return [(basis[i].astype(np.int64), float(x[i])) for i in range(m) if x[i] > 1e-9]
 
 
@@ -185,7 +190,7 @@ def plan(lengths: np.ndarray, demand: np.ndarray, size: int = SIZE) -> np.ndarra
     offset in it. Together they hold each rank of each length once, and every sequence's pieces fit."""
     order = np.argsort(lengths)
     lengths, rest = np.asarray(lengths, np.int64)[order], np.asarray(demand, np.int64)[order].copy()
-    used = min(rounded(lengths, rest, size), greedy(lengths, rest, size), key=lambda u: sum(n for _, n in u)) if len(lengths) else []
+    used = rounded(lengths, rest, size) if len(lengths) else []
     slots, taken, sequence = [], np.zeros(len(lengths), np.int64), 0
     for column, n in used:
         offset = 0
@@ -204,7 +209,7 @@ def assign(cut: DataFrame, size: int = SIZE) -> DataFrame:
     slots = plan(np.array([r["length"] for r in counted]), np.array([r["count"] for r in counted]), size)
     slots = slots[np.lexsort((slots[:, 1], slots[:, 0]))]
     blocks = max(1, sum(r["count"] for r in counted) // BLOCK)
-    keyed = cut.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    keyed = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks)).cast("int"))
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     ahead = keyed.groupBy("length", "block").count().select("length", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
     within = F.row_number().over(Window.partitionBy("length", "block").orderBy("doc_id", "start", "ids_crc32")) - 1

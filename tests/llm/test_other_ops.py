@@ -14,7 +14,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 
-from tessera.llm import queries, topk, toxicity, warc  # noqa: E402
+from tessera.llm import queries, substring_dedup, topk, toxicity, warc  # noqa: E402
 
 DATA = "/root/testdata/sf0.01"
 
@@ -275,6 +275,36 @@ def test_pipeline_stages(spark):
             assert all(r["n_chars"] == len(r["text"]) for r in after.values())
 
 
+def test_pipeline_run_against_brute_force(spark, tmp_path):
+    """All stages in one go over a small folder: what is left of each document by plain means, and its pieces."""
+    import corpus_pipeline as pipeline
+
+    from .test_text_ops import brute_dedup, brute_join, tokens_of
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("length(text) < 4000 and doc_id % 3 < 2")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    rows += [(10**6, None), (10**6 + 1, ""), (10**6 + 2, rows[5][1]), (10**6 + 3, rows[5][1] + " more"), (10**6 + 4, "a <|endoftext|> b")]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], docs.schema)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.tag(table, toxicity.train(table, labels)).collect()}
+    left = [(i, t) for i, t in rows if scores[i] < 0.7]
+    joined = brute_join(left)
+    left = [(i, t) for i, t in left if joined[i][0] == 0 or joined[i][1] == i]
+    cut = {r["doc_id"]: r["text"] for r in substring_dedup.dedup(spark.createDataFrame(left, "doc_id long, text string"), levels=False).collect()}
+    told = brute_dedup(left)
+    assert all(hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest() == told[i][2] for i, t in cut.items()) and len(cut) == len(left) < len(rows)
+    pieces, used = {}, {}
+    for r in pipeline.run(spark, str(tmp_path)).collect():
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["ids"]))
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+    assert {i: [x for _, ids in sorted(p) for x in ids] for i, p in pieces.items()} == {i: tokens_of(t) for i, t in cut.items()}
+    for parts in map(sorted, used.values()):
+        assert [a for a, _ in parts] == np.cumsum([0, *(n for _, n in parts)])[:-1].tolist() and sum(n for _, n in parts) <= 1024
+
+
 def test_every_operator_has_a_query():
     assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
     assert queries.oracle_sql().keys() <= queries.queries().keys()

@@ -322,6 +322,18 @@ def test_packing_plan_fills_sequences():
     assert packing.plan(np.array([]), np.array([])).shape == (0, 6)
 
 
+def test_plan_is_the_linear_programs(monkeypatch):
+    """Greedy packing serves only what rounding leaves over, on small histograms too."""
+    seen = []
+    plain = packing.greedy
+    monkeypatch.setattr(packing, "greedy", lambda lengths, rest, size: seen.append(int((lengths * rest).sum())) or plain(lengths, rest, size))
+    r = np.random.default_rng(5)
+    for n in (50, 3000):
+        lengths, demand = np.unique(r.integers(1, 600, n), return_counts=True)
+        packing.plan(lengths, demand)
+    assert len(seen) == 2 and seen[1] < 0.5 * (lengths * demand).sum()
+
+
 def test_linear_program_beats_greedy():
     lengths, demand = np.array([14, 31, 36, 45]), np.array([211, 395, 610, 97])
     value = sum(x for _, x in packing.solve(lengths, demand, 100))
