@@ -44,6 +44,8 @@ _ROWS = "key long, ext long, times byte, uid long, uid2 long, at int, n int"
 _SEGMENT = pa.schema([("uid", pa.int64()), ("uid2", pa.int64()), ("body", pa.binary()), ("weight", pa.int32())])
 _SEGMENTS = "uid long, uid2 long, body binary, weight int"
 _ID = ["uid", "uid2"]
+#: Parts of the rows that share a segment; a group of copies all share theirs.
+SPREAD = 32
 
 
 def smallest(values: np.ndarray, width: int) -> np.ndarray:
@@ -216,21 +218,23 @@ def longest(found: DataFrame, window: int) -> DataFrame:
     rows that have any. found has uid, uid2, body (a segment) and weight, the candidates of the second level."""
     reached: list[DataFrame] = []
     links = None
+    every = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("spread")
     while True:
         found = stored(found.withColumns({"seg": F.xxhash64("body"), "seg2": F.xxhash64(F.lit(2), "body")}), "segments")
         down = found.select(*_ID, "seg", "seg2").distinct()
         if links is not None:  # which rows have the segment that this one is part of
-            down = links.join(down.select(F.col("uid").alias("seg"), F.col("uid2").alias("seg2"), F.col("seg").alias("new"), F.col("seg2").alias("new2")), ["seg", "seg2"])
+            parts = down.select(F.col("uid").alias("seg"), F.col("uid2").alias("seg2"), F.col("seg").alias("new"), F.col("seg2").alias("new2"), every)
+            down = links.join(parts, ["seg", "seg2", "spread"])
             down = down.select(*_ID, F.col("new").alias("seg"), F.col("new2").alias("seg2")).distinct()
-        links = stored(down, "segment-links")
+        links = stored(down.withColumn("spread", F.pmod(F.xxhash64(*_ID), F.lit(SPREAD)).cast("int")), "segment-links")
         window *= 2
         rows = found.groupBy("seg", "seg2").agg(F.first("body").alias("body"), F.least(F.sum("weight"), F.lit(2)).cast("int").alias("weight"))
         rows = stored(rows.withColumnsRenamed({"seg": "uid", "seg2": "uid2"}), "distinct-segments")
         runs = level(rows, window, "body")
         if runs.isEmpty():
             break
-        alive = runs.select(F.col("uid").alias("seg"), F.col("uid2").alias("seg2")).distinct()
-        reached.append(stored(links.join(alive, ["seg", "seg2"], "left_semi").select(*_ID).distinct().withColumn("longest", F.lit(window).cast("long")), "reached"))
+        alive = runs.select(F.col("uid").alias("seg"), F.col("uid2").alias("seg2")).distinct().select("*", every)
+        reached.append(stored(links.join(alive, ["seg", "seg2", "spread"], "left_semi").select(*_ID).distinct().withColumn("longest", F.lit(window).cast("long")), "reached"))
         found = _shorter(rows, runs, window)
     out = links.select(*_ID, F.lit(0).cast("long").alias("longest"))
     for more in reached:
