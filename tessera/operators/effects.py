@@ -33,7 +33,8 @@ def handled(sites: DataFrame, regions: DataFrame) -> DataFrame:
     return sites.join(guarded, "region_id", "left").withColumn("caught", F.coalesce("guarded", F.lit(False))).drop("guarded")
 
 
-_TAKES = F.col("kind").isin("catch", "then2") | ((F.col("kind") == "finally") & F.col("error_type").isNotNull())
+#: Steps that take a rejection: handlers, and a finally that throws in its place.
+_TAKES = "kind in ('catch', 'then2') or kind = 'finally' and error_type is not null"
 
 
 def chains(sites: DataFrame, steps: DataFrame) -> DataFrame:
