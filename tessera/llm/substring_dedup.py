@@ -221,6 +221,8 @@ def longest(found: DataFrame, window: int) -> DataFrame:
     every = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("spread")
     while True:
         found = stored(found.withColumns({"seg": F.xxhash64("body"), "seg2": F.xxhash64(F.lit(2), "body")}), "segments")
+        if found.isEmpty():  # no candidate survives
+            break
         down = found.select(*_ID, "seg", "seg2").distinct()
         if links is not None:  # which rows have the segment that this one is part of
             parts = down.select(F.col("uid").alias("seg"), F.col("uid2").alias("seg2"), F.col("seg").alias("new"), F.col("seg2").alias("new2"), every)
@@ -236,7 +238,7 @@ def longest(found: DataFrame, window: int) -> DataFrame:
         alive = runs.select(F.col("uid").alias("seg"), F.col("uid2").alias("seg2")).distinct().select("*", every)
         reached.append(stored(links.join(alive, ["seg", "seg2", "spread"], "left_semi").select(*_ID).distinct().withColumn("longest", F.lit(window).cast("long")), "reached"))
         found = _shorter(rows, runs, window)
-    out = links.select(*_ID, F.lit(0).cast("long").alias("longest"))
+    out = found.select(*_ID, F.lit(0).cast("long").alias("longest"))
     for more in reached:
         out = out.unionByName(more)
     return out.groupBy(*_ID).agg(F.max("longest").alias("longest"))
