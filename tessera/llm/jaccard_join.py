@@ -296,8 +296,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = SHIN
     own = stored(own.withColumn("spread", F.pmod(F.xxhash64("sid"), F.lit(SPREAD))), "classes")
     count = ["n_links"] if links else []
     # a set that stands for itself needs no look-up; a large class is looked up in parts
-    linked = own.where("component <> sid").select("component").distinct()
-    least = own.join(linked, "component", "left_semi").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    least = own.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     least = least.withColumn("spread", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
     classes = own.join(least, ["component", "spread"], "left").select("sid", F.col("component").alias("class"), F.coalesce("component_id", "doc_id").alias("component_id"), *count)
     classes = stored(classes, "class-ids")
