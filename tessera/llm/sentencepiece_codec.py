@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from .common import record, slices, texts
 
 SPACE = "▁"
-#: Chunks that a worker remembers at most; it starts anew beyond (speed only).
+#: Chunks that a worker remembers (speed only); beyond, it starts anew, and takes what it meets again from as many before.
 REMEMBERED = 400_000
 ENCODED = "doc_id long, ids array<int>, decoded string"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -60,6 +60,7 @@ class Codec:
         self.rank = {p: place[s] << 32 for p, s in scores.items()}
         self.side_by_side = np.array(sorted({ord(p[k]) << 32 | ord(p[k + 1]) for p in self.ids for k in range(len(p) - 1)}), np.int64)
         self.known: dict[str, tuple[bytes, str]] = {}
+        self.aged: dict[str, tuple[bytes, str]] = {}
 
     def normalised(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
@@ -122,11 +123,11 @@ class Codec:
         own = [c[0] == SPACE and len(c) > 1 for c in fresh]
         checks = self.library.encode([c[1:] if o else "\n" + c for c, o in zip(fresh, own, strict=True)], num_threads=1)
         head = array("I", self.library.encode("\n", num_threads=1)).tobytes()
-        known = self.known
+        known, aged = self.known, self.aged
         for chunk, parts, o, told in zip(fresh, self.parted(fresh), own, checks, strict=True):
             for part in parts:
                 if part not in known:
-                    known[part] = self.encoded(part)
+                    known[part] = aged.get(part) or self.encoded(part)
             if len(parts) > 1:
                 known[chunk] = b"".join([known[p][0] for p in parts]), "".join([known[p][1] for p in parts])
             if array("I", told).tobytes() != (known[chunk][0] if o else head + known[chunk][0]):
@@ -152,9 +153,12 @@ class Codec:
         for at in range(0, len(cut), 256):
             some = cut[at : at + 256]
             if len(self.known) > REMEMBERED:
-                self.known.clear()
-            self.learn(set().union(*some) - self.known.keys())
-            known = self.known
+                self.aged, self.known = self.known, {}
+            known, aged = self.known, self.aged
+            fresh = set().union(*some) - known.keys()
+            again = fresh & aged.keys()
+            known.update((c, aged[c]) for c in again)
+            self.learn(fresh - again)
             for chunks in some:
                 got = [known[c] for c in chunks]
                 yield begin + b"".join([x[0] for x in got]) + end, "".join([x[1] for x in got])[1:]

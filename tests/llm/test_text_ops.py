@@ -394,6 +394,20 @@ def test_sentencepiece_takes_long_chunks():
         assert got == (np.array(ids, "<u4").tobytes(), c.library.decode(ids))
 
 
+def test_sentencepiece_remembers_frequent_chunks(monkeypatch):
+    """Chunks of every text are merged once, however many others come between."""
+    monkeypatch.setattr(sentencepiece_codec, "REMEMBERED", 2000)
+    c = sentencepiece_codec.Codec(PIECES)
+    r, merged = random.Random(15), Counter()
+    encoded = c.encoded
+    monkeypatch.setattr(c, "encoded", lambda part: merged.update([part]) or encoded(part))
+    texts = ["often seen " + "".join(r.choices("etaoinshr", k=9)) + " ".join("".join(r.choices("etaoinshr", k=9)) for _ in range(8)) for _ in range(2000)]
+    for text, got in zip(texts, c.encode(texts), strict=True):
+        ids = c.library.encode(text, add_bos=True, add_eos=True)
+        assert got == (np.array(ids, "<u4").tobytes(), c.library.decode(ids))
+    assert merged["▁often"] == merged["▁seen"] == 1 and len(c.known) + len(c.aged) < 10_000 < len(merged)
+
+
 @pytest.mark.parametrize("text", ["", " ", "   a  b ", "\n\n x\ty\r\n", "▁▁ ▁", "　ﬁ🦀é́", "\x00 \x01﻿", "</s><unk><0x41>", "a" * 3000, "1234567890 " * 50])
 def test_sentencepiece_oddities(text):
     c = sentencepiece_codec.codec(PIECES)
