@@ -10,8 +10,9 @@ the whole text is one. A digest has 48 bits, and 16 that certify them. The diges
 sketch of three tables of cells, and each digest is counted and XORed into one cell of each table. Sketches of two versions
 subtract cell by cell, which leaves only the digests that differ; cells that hold a single digest give it away and are
 peeled until nothing is left. A stratum that does not peel empty is tried again with sketches of twice the cells, and so on
-(from 128 cells by eights) until it does. The likeness of two fingerprints is the share of the digests of both, at the
-lowest level that both hold, that the other has too.
+(from 128 cells by eights) until it does; digests that it has given away, and one side alone holds, are left out there. The
+likeness of two fingerprints is the share of the digests of both, at the lowest level that both hold, that the other has
+too.
 
 compare() recovers all paragraph digests of one level in which two versions differ: their number is estimated from the
 fingerprints, and gives the number of strata.
@@ -64,12 +65,17 @@ def units(text: str) -> str:
 
 def starts(places: str, level: str) -> str:
     """Those places where paragraphs of a level start, in the units h."""
-    return f"filter({places}, i -> i = 0 OR (get(h, i - 1) & (shiftleft(1L, {level}) - 1L)) = 0L)"
+    return let("mask", f"shiftleft(1L, {level}) - 1L", f"filter({places}, i -> i = 0 OR (get(h, i - 1) & mask) = 0L)")
+
+
+def all_starts(level: str) -> str:
+    """All places where paragraphs of a level start, in the units h."""
+    return let("mask", f"shiftleft(1L, {level}) - 1L", "concat(array(0), array_remove(transform(slice(h, 1, size(h) - 1), (x, i) -> IF((x & mask) = 0L, i + 1, 0)), 0))")
 
 
 def paragraphs(begin: str) -> str:
     """The distinct digests of the paragraphs of h that begin at places."""
-    return f"array_distinct(transform({begin}, (s, j) -> xxhash64(slice(h, s + 1, coalesce(get({begin}, j + 1), size(h)) - s)) & {_LOW}L))"
+    return f"array_distinct(transform({begin}, (s, j) -> xxhash64(transform(sequence(s, coalesce(get({begin}, j + 1), size(h)) - 1), i -> get(h, i))) & {_LOW}L))"
 
 
 def certified(key: str, z: str) -> str:
@@ -78,20 +84,24 @@ def certified(key: str, z: str) -> str:
 
 
 def cut(text: str) -> str:
-    """A text's fingerprint before it is sketched: its lowest and its top level, and the certified digests of each level from
-    one to the other with their strata."""
-    all_of = "sequence(0, size(h) - 1)"
+    """A text's fingerprint before it is sketched: its lowest and its top level, and the certified digests of each stratum of
+    each level from one to the other."""
     level = f"greatest(0, CAST(ceil(log2(size(h) / {float(PARAGRAPHS)})) AS INT))"
-    finer = let("f", starts(all_of, "l"), f"IF(size(f) > {4 * PARAGRAPHS}, s, named_struct('l', l, 'b', f))")
+    # places of a somewhat lower level are among those of all above it; levels below that are seldom needed
+    finer = let("f", starts("IF(l >= low, places, sequence(0, size(h) - 1))", "l"), f"IF(size(f) > {4 * PARAGRAPHS}, s, named_struct('l', l, 'b', f))")
     base = f"aggregate(sequence(first, 0, -1), named_struct('l', first, 'b', CAST(array() AS array<int>)), (s, l) -> IF(size(s.b) >= {LEAST}, s, {finer}))"
-    base = let("first", level, let("g", base, f"IF(size(g.b) > 0, g, named_struct('l', first, 'b', {starts(all_of, 'first')}))"))
+    base = let("g", base, f"IF(size(g.b) > 0, g, named_struct('l', first, 'b', {starts('places', 'first')}))")
+    base = let("first", level, let("low", "greatest(0, first - 2)", let("places", all_starts("low"), base)))
     # the top level is above the most zero bits that a unit between two paragraphs ends in
     zeros = let("y", "get(h, i - 1)", "IF(y = 0L, 63, bit_count((y & -y) - 1L))")
     top = f"aggregate(s.b, s.l, (x, i) -> IF(i = 0, x, greatest(x, least(62, {zeros}) + 1)))"
-    each = let("z", "xxhash64(x)", f"named_struct('t', CAST({STRATA} * l + pmod(shiftrightunsigned(z, 48), {STRATA}) AS INT), 'k', {certified('x', 'z')})")
-    keyed = f"flatten(transform(sequence(s.l, top), l -> {let('b', starts('s.b', 'l'), f'transform({paragraphs("b")}, x -> {each})')}))"
+    each = let("z", "xxhash64(x)", f"named_struct('t', pmod(shiftrightunsigned(z, 48), {STRATA}), 'k', {certified('x', 'z')})")
+    strata = let("w", f"transform({paragraphs('b')}, x -> {each})", f"transform(sequence(0, {STRATA - 1}), t -> transform(filter(w, e -> e.t = t), e -> e.k))")
+    # a level's places are among those of the level below
+    step = let("b", starts("a.b", "l"), f"named_struct('b', b, 'keyed', concat(a.keyed, {strata}))")
+    keyed = f"aggregate(sequence(s.l, top), named_struct('b', s.b, 'keyed', CAST(array() AS array<array<bigint>>)), (a, l) -> {step}, a -> a.keyed)"
     made = let("s", base, let("top", top, f"named_struct('level', s.l, 'top', top, 'keyed', {keyed})"))
-    none = "named_struct('level', 0, 'top', 0, 'keyed', CAST(array() AS array<struct<t: int, k: bigint>>))"
+    none = "named_struct('level', 0, 'top', 0, 'keyed', CAST(array() AS array<array<bigint>>))"
     return let("h", units(text), f"IF(size(h) = 0, {none}, {made})")
 
 
@@ -99,30 +109,35 @@ def place(key: str, table: int, cells: str) -> str:
     return f"CAST({table} * {cells} + (shiftrightunsigned({key}, {16 * table}) & ({cells} - 1L)) AS INT)"
 
 
+def empty(cells: str) -> str:
+    return f"array_repeat(named_struct('n', 0, 'k', 0L), CAST(3 * {cells} AS INT))"
+
+
 def sketch(keys: str, cells: str) -> str:
     """Three tables of cells: how many digests fall in each, and their XOR."""
-    hits = f"filter({keys}, d -> (shiftrightunsigned(d, 16 * CAST(c DIV {cells} AS INT)) & ({cells} - 1L)) = c % {cells})"
-    cell = let("hits", hits, "named_struct('n', size(hits), 'k', aggregate(hits, 0L, (x, d) -> x ^ d))")
-    return f"transform(sequence(0L, 3 * {cells} - 1L), c -> {cell})"
+    spot = f"named_struct('mask', shiftleft({cells} - 1L, 16 * table), 'want', shiftleft(c, 16 * table))"
+    spots = f"flatten(transform(sequence(0, 2), table -> transform(sequence(0L, {cells} - 1L), c -> {spot})))"
+    cell = let("hits", f"filter({keys}, d -> (d & spot.mask) = spot.want)", "named_struct('n', size(hits), 'k', aggregate(hits, 0L, (x, d) -> x ^ d))")
+    return f"transform({spots}, spot -> {cell})"
 
 
 def first_sketch(keys: str) -> str:
-    """The same for CELLS cells, carried through the digests as a whole."""
+    """The same for CELLS cells, carried through the digests as a whole; a single digest is put in its places."""
     zero = ", ".join(f"'n{c}', 0, 'k{c}', 0L" for c in range(CELLS))
     add = ", ".join(f"'n{c}', IF(x = {c}L, s.n{c} + 1, s.n{c}), 'k{c}', IF(x = {c}L, s.k{c} ^ d, s.k{c})" for c in range(CELLS))
     whole = ", ".join(f"named_struct('n', s.n{c}, 'k', s.k{c})" for c in range(CELLS))
     step = let("x", f"shiftrightunsigned(d, 16 * table) & {CELLS - 1}L", f"named_struct({add})")
-    return f"flatten(transform(sequence(0, 2), table -> aggregate({keys}, named_struct({zero}), (s, d) -> {step}, s -> array({whole}))))"
-
-
-def of_stratum(keyed: str, t: str) -> str:
-    return f"transform(filter({keyed}, e -> e.t = {t}), e -> e.k)"
+    many = f"flatten(transform(sequence(0, 2), table -> aggregate({keys}, named_struct({zero}), (s, d) -> {step}, s -> array({whole}))))"
+    void = "named_struct('n', 0, 'k', 0L)"
+    one = f"flatten(transform(sequence(0, 2), table -> {let('x', f'shiftrightunsigned(get({keys}, 0), 16 * table) & {CELLS - 1}L', f"array({', '.join(f'IF(x = {c}L, own, {void})' for c in range(CELLS))})")}))"
+    return f"IF(size({keys}) = 1, {let('own', f"named_struct('n', 1, 'k', get({keys}, 0))", one)}, {many})"
 
 
-def sketches(keyed: str) -> str:
-    """The first sketch of each stratum that holds any digest."""
-    strata = f"array_sort(array_distinct(transform({keyed}, e -> e.t)))"
-    return f"transform({strata}, t -> named_struct('t', t, 'cells', {let('w', of_stratum(keyed, 't'), first_sketch('w'))}))"
+def sketches(made: str, at: str | None = None) -> str:
+    """The first sketch of each stratum, empty where it holds no digest; only of the level whose strata begin at a place, if
+    given."""
+    wanted = "size(w) > 0" + ("" if at is None else f" AND j >= {at} AND j < {at} + {STRATA}")
+    return f"transform({made}.keyed, (w, j) -> IF({wanted}, {first_sketch('w')}, CAST(array() AS array<struct<n: int, k: bigint>>)))"
 
 
 def subtract(a: str, b: str) -> str:
@@ -130,8 +145,8 @@ def subtract(a: str, b: str) -> str:
 
 
 def peel(cells_of: str, cells: str) -> str:
-    """The digests of a subtracted sketch, with 1 or -1 for the version that has them; null if it does not peel empty in
-    ROUNDS rounds (each takes all digests that cells give away), which a larger sketch does."""
+    """The digests of a subtracted sketch, with 1 or -1 for the version that has them, and whether it has peeled empty
+    in ROUNDS rounds (each takes all digests that cells give away); else a larger sketch does."""
     own = " OR ".join(f"i = {place('c.k', table, cells)}" for table in range(3))
     sure = f"abs(c.n) = 1 AND (shiftrightunsigned(c.k, 48) = (xxhash64(c.k & {_LOW}L) & 65535L)) AND ({own})"
     single = f"array_distinct(filter(s.cells, (c, i) -> {sure}))"
@@ -139,51 +154,56 @@ def peel(cells_of: str, cells: str) -> str:
     less = let("at", f"array({places})", "transform(cs, (c, i) -> IF(array_contains(at, i), named_struct('n', c.n - p.n, 'k', c.k ^ p.k), c))")
     step = let("one", single, f"IF(size(one) = 0, named_struct('cells', s.cells, 'found', s.found, 'live', false), named_struct('cells', aggregate(one, s.cells, (cs, p) -> {less}), 'found', concat(s.found, one), 'live', true))")
     begin = f"named_struct('cells', {cells_of}, 'found', CAST(array() AS array<struct<n: int, k: bigint>>), 'live', true)"
-    return f"aggregate(sequence(1, {ROUNDS}), {begin}, (s, r) -> IF(s.live, {step}, s), s -> IF(forall(s.cells, c -> c.n = 0 AND c.k = 0L), s.found, NULL))"
+    return f"aggregate(sequence(1, {ROUNDS}), {begin}, (s, r) -> IF(s.live, {step}, s), s -> named_struct('found', s.found, 'all', forall(s.cells, c -> c.n = 0 AND c.k = 0L)))"
 
 
 def peeled(u: str, v: str, published: str | None = None) -> str:
     """The digests that differ between two arrays: what peels off their subtracted sketches (the published ones first, if
-    given), of CELLS cells a table, then of more and more. One expression serves all sizes: each task has to build it."""
-    first = subtract(sketch(u, "m"), sketch(v, "m"))
+    given), of CELLS cells a table, then of more and more. What a sketch gives away before it is stuck, and one of the arrays
+    alone holds, goes into no larger one. One expression serves all sizes: each task has to build it."""
+    first = subtract(sketch("got.u", "m"), sketch("got.v", "m"))
     if published is not None:
         first = f"IF(m = {CELLS}, {published}, {first})"
     sizes, m = [], CELLS
     while m <= LARGEST:
         sizes.append(f"{m}L")
         m *= 2 if m < 128 else 8
-    tries = f"aggregate(array({', '.join(sizes)}), CAST(NULL AS array<struct<n: int, k: bigint>>), (got, m) -> coalesce(got, {peel(first, 'm')}))"
-    return f"coalesce({tries}, array(raise_error('a sketch does not peel')))"
+    only = lambda n, one, other: f"array_except(array_intersect(transform(filter(r.found, e -> e.n = {n}), e -> e.k), got.{one}), got.{other})"
+    found = "concat(got.found, transform(a, k -> named_struct('n', 1, 'k', k)), transform(b, k -> named_struct('n', -1, 'k', k)))"
+    rest = let("a", only(1, "u", "v"), let("b", only(-1, "v", "u"), f"named_struct('u', array_except(got.u, a), 'v', array_except(got.v, b), 'found', {found}, 'all', false)"))
+    step = let("r", peel(first, "m"), f"IF(r.all, named_struct('u', got.u, 'v', got.v, 'found', concat(got.found, r.found), 'all', true), {rest})")
+    kind = "array<struct<n: int, k: bigint>>"
+    begin = f"named_struct('u', {u}, 'v', {v}, 'found', CAST(array() AS {kind}), 'all', false)"
+    return f"aggregate(array({', '.join(sizes)}), {begin}, (got, m) -> IF(got.all, got, {step}), got -> IF(got.all, got.found, CAST(raise_error('a sketch does not peel') AS {kind})))"
 
 
 def common(a: str, b: str) -> str:
-    """The stratum of part 0 of each of two fingerprints at the lowest level of both (the top one stands for those above)."""
-    level = f"greatest({a}.level, {b}.level)"
-    return f"named_struct('a', {STRATA} * least({level}, {a}.top), 'b', {STRATA} * least({level}, {b}.top))"
+    """The place of part 0 among the strata of fingerprint a at the lowest level that it and b both hold (its top one stands
+    for those above)."""
+    return f"{STRATA} * (least(greatest({a}.level, {b}.level), {a}.top) - {a}.level)"
 
 
 def difference(a: str, b: str, cells_a: str, cells_b: str) -> str:
     """The digests that only one of two fingerprints holds at the lowest level of both: their published sketches peeled, then
     larger ones where these fail."""
-    none = f"transform(sequence(1, {3 * CELLS}), c -> named_struct('n', 0, 'k', 0L))"
-    cells = lambda side, t: f"coalesce(get(filter({side}, e -> e.t = {t} + part), 0).cells, {none})"
-    u, v = of_stratum(f"{a}.keyed", "at.a + part"), of_stratum(f"{b}.keyed", "at.b + part")
-    found = let("p", cells(cells_a, "at.a"), let("q", cells(cells_b, "at.b"), f"IF(p = q, CAST(array() AS array<struct<n: int, k: bigint>>), {let('u', u, let('v', v, peeled('u', 'v', subtract('p', 'q'))))})"))
-    return let("at", common(a, b), f"flatten(transform(sequence(0, {STRATA - 1}), part -> {found}))")
+    cells = lambda side, at: let("e", f"get({side}, {at} + part)", f"IF(size(e) > 0, e, {empty(f'{CELLS}L')})")
+    held = lambda side, at: f"coalesce(get({side}.keyed, {at} + part), CAST(array() AS array<bigint>))"
+    found = let("u", held(a, "ia"), let("v", held(b, "ib"), peeled("u", "v", subtract("p", "q"))))
+    found = let("p", cells(cells_a, "ia"), let("q", cells(cells_b, "ib"), f"IF(p = q, CAST(array() AS array<struct<n: int, k: bigint>>), {found})"))
+    return let("ia", common(a, b), let("ib", common(b, a), f"flatten(transform(sequence(0, {STRATA - 1}), part -> {found}))"))
 
 
 def likeness(a: str, b: str, gone: str) -> str:
     """The share of the digests that two fingerprints hold at the lowest level of both which the other holds too."""
-    held = lambda side, t: f"size(filter({side}.keyed, e -> e.t >= {t} AND e.t < {t} + {STRATA}))"
-    both = let("at", common(a, b), f"{held(a, 'at.a')} + {held(b, 'at.b')}")
-    return let("o", both, f"IF(o = 0, 1.0D, CAST(o - size({gone}) AS DOUBLE) / o)")
+    held = lambda x, y: f"aggregate(slice({x}.keyed, 1 + {common(x, y)}, {STRATA}), 0, (n, w) -> n + size(w))"
+    return let("o", f"{held(a, b)} + {held(b, a)}", f"IF(o = 0, 1.0D, CAST(o - size({gone}) AS DOUBLE) / o)")
 
 
 def written(made: str, cells: str) -> str:
     """A fingerprint as text: its levels, and each stratum's cells that hold any digest, with place, count and XOR."""
-    cell = "concat(i, '.', c.n, '.', lower(hex(c.k)))"
-    some = f"filter(transform(e.cells, (c, i) -> IF(c.n = 0, '', {cell})), x -> x <> '')"
-    return f"concat({made}.level, '-', {made}.top, ':', array_join(transform({cells}, e -> concat(e.t, '=', array_join({some}, ','))), ' '))"
+    some = "transform(e, (c, i) -> IF(c.n = 0, NULL, concat(i, '.', c.n, '.', lower(hex(c.k)))))"
+    strata = f"transform({cells}, (e, j) -> IF(size(e) = 0, NULL, concat({STRATA} * {made}.level + j, '=', array_join({some}, ','))))"
+    return f"concat({made}.level, '-', {made}.top, ':', array_join({strata}, ' '))"
 
 
 def _among(bounds: Column, value: Column) -> Column:
@@ -239,7 +259,7 @@ def with_next(docs: DataFrame, made: str | None = None) -> DataFrame:
 
 def fingerprint(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint of every text."""
-    rows = texts(docs).withColumn("made", F.expr(cut("text"))).withColumn("cells", F.expr(sketches("made.keyed")))
+    rows = texts(docs).withColumn("made", F.expr(cut("text"))).withColumn("cells", F.expr(sketches("made")))
     return rows.select("doc_id", F.expr(written("made", "cells")).alias("fingerprint"))
 
 
@@ -248,7 +268,7 @@ def compare(versions: DataFrame, level: int = 2) -> DataFrame:
     -1 if only the new one; k: the digest) and the likeness, the share of all digests of both that the other has too."""
     rows = versions.withColumns({"old_text": F.coalesce("old_text", F.lit("")), "new_text": F.coalesce("new_text", F.lit(""))})
     rows = rows.withColumns({"__a": F.expr(cut("old_text")), "__b": F.expr(cut("new_text"))})
-    rows = rows.withColumns({"__p": F.expr(sketches("__a.keyed")), "__q": F.expr(sketches("__b.keyed"))})
+    rows = rows.withColumns({"__p": F.expr(sketches("__a")), "__q": F.expr(sketches("__b"))})
     # the fingerprints tell about how many digests differ, which gives the strata; each is then a slice of all digests by stratum
     guess = f"size({difference('__a', '__b', '__p', '__q')}) * pow(2.0D, greatest(0, greatest(__a.level, __b.level) - {level}))"
     rows = rows.withColumn("__g", F.expr(f"greatest(1, CAST(least(1e9D, ceil(({guess}) / {LOAD}.0D)) AS INT))"))
@@ -272,7 +292,9 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
     rows = with_next(docs, cut("text")).withColumn("n_chars", F.length("text").cast("long"))
     rows = rows.withColumn("edited", F.expr(f"concat(substring(text, 1, CAST(n_chars AS INT) - {half}), substring(next_text, 1, {half}))"))
     rows = rows.withColumns({"new": F.expr(cut("edited")), "edited_sha256": F.sha2(F.col("edited").cast("binary"), 256)}).drop("text", "edited", "next_text")
-    rows = rows.withColumns({f"{c}_cells": F.expr(sketches(f"{c}.keyed")) for c in ("own", "new", "other")})
+    # of the next text only the sketches that are compared are made
+    sketched = {"own": sketches("own"), "new": sketches("new"), "other": sketches("other", common("other", "own"))}
+    rows = rows.withColumns({f"{c}_cells": F.expr(x) for c, x in sketched.items()})
     versions = "array(named_struct('f', new, 'c', new_cells), named_struct('f', other, 'c', other_cells))"
     near = likeness("own", "w.f", difference("own", "w.f", "own_cells", "w.c"))
     rows = rows.withColumn("near", F.expr(f"transform({versions}, w -> {near})"))

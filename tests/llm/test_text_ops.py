@@ -567,6 +567,22 @@ def test_small_sketches_are_tried_again_larger(spark):
         assert {(d["n"], d["k"]) for d in x["found"]} == {(1, k) for k in u - v} | {(-1, k) for k in v - u}
 
 
+def test_only_compared_strata_are_sketched(spark):
+    """Sketches of every stratum, of one digest or many, against plain ones; and of one level only, as the next text's are."""
+    text = " ".join(f"w{k * k}" for k in range(600))
+    rows = spark.createDataFrame([(text,)], "text string").withColumn("made", F.expr(fingerprints.cut("text")))
+    made, every, some = rows.select("made", F.expr(fingerprints.sketches("made")), F.expr(fingerprints.sketches("made", "4"))).first()
+    assert {len(keys) for keys in made["keyed"]} > {0, 1, 2} and len(made["keyed"]) == 4 * (made["top"] - made["level"] + 1)
+    for keys, cells in zip(made["keyed"], every, strict=True):
+        plain = [[0, 0] for _ in range(24)] if keys else []
+        for k in keys:
+            for table in range(3):
+                cell = plain[8 * table + (k >> 16 * table & 7)]
+                cell[:] = cell[0] + 1, cell[1] ^ k
+        assert [tuple(c) for c in cells] == [tuple(c) for c in plain]
+    assert some == [cells if 4 <= j < 8 else [] for j, cells in enumerate(every)]
+
+
 def test_licenses(spark, docs, none):
     mit = dict(licenses.TEXTS[:1])["MIT"]
     rows = spark.createDataFrame(
