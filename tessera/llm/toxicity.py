@@ -165,62 +165,76 @@ def _described(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return features(data, starts, stops, first), first, np.diff(count)
 
 
+def _befores(rows: list[str], of: np.ndarray) -> np.ndarray:
+    """How many different words stand before each word or beginning where it first stands in a text: copies of a text, or a
+    text that repeats itself, add nothing."""
+    pairs: list[list[np.ndarray]] = [[] for _ in range(4)]
+    for at in range(0, len(of), 64):
+        x, _, n = _described(*_encoded([rows[d] for d in of[at : at + 64]]))
+        doc = np.repeat(np.arange(len(n)), n)
+        for kind, met in enumerate(pairs):
+            key = x[kind].astype(np.int64) << 32
+            first_in = np.unique(key | doc, return_index=True)[1]
+            met.append(np.unique(key[first_in] | x[5, first_in].astype(np.int64)))
+            if len(met) > 1 and len(met[-1]) * 2 > len(met[-2]):  # merged like a binary counter's digits
+                met[-2:] = [np.unique(np.concatenate(met[-2:]))]
+    seen = np.zeros(WEIGHTS, np.float32)
+    for met in pairs:
+        if met:
+            np.add.at(seen, np.unique(np.concatenate(met)) >> 32, 1)
+        met.clear()
+    return seen
+
+
 def fit(rows: list[str], toxic: np.ndarray, epochs: int = 4, rate: float = 0.5, decay: float = 1e-4, odds: float = 3.0, least: int = 2, share: float = 0.02) -> Field:
     """Fits the field to whole texts and their labels. A telling feature first stands after at least `least` different
-    words in toxic texts, and at least that share of their number."""
+    words in toxic texts, and at least that share of their number. Only the texts are held; the features of a part of them
+    are made anew whenever they are read, so that the driver's memory does not follow the number of tokens."""
     none = Field(np.zeros(1, np.float32), np.zeros((2, 2)), 0.0, 0.0, True)
     if not len(rows) or toxic.all() or not toxic.any():
         return none
-    parts = [_described(*_encoded(rows[at : at + 64])) for at in range(0, len(rows), 64)]
-    x, first = np.concatenate([p[0] for p in parts], 1), np.concatenate([p[1] for p in parts])
-    count = np.r_[0, np.cumsum(np.concatenate([p[2] for p in parts]))]
-    del parts
-    doc = np.repeat(np.arange(len(rows)), np.diff(count))
     # every eighth text of each label is kept back to calibrate on
     back = np.zeros(len(rows), bool)
     for label in (False, True):
         back[np.flatnonzero(toxic == label)[4::8]] = True
-    # how many different words stand before a word or beginning where it first stands in a text: copies of a text, or a
-    # text that repeats itself, add nothing
-    seen = [np.zeros(WEIGHTS, np.float32), np.zeros(WEIGHTS, np.float32)]
-    for label in (0, 1):
-        of = np.flatnonzero((toxic[doc] == label) & ~back[doc])
-        for kind in range(4):
-            key = x[kind, of].astype(np.int64) << 32
-            first_in = np.unique(key | doc[of], return_index=True)[1]
-            both = np.unique(key[first_in] | x[5, of][first_in].astype(np.int64))
-            np.add.at(seen[label], both >> 32, 1)
-    telling = np.log((seen[1] + 0.5) / (toxic & ~back).sum()) - np.log((seen[0] + 0.5) / (~toxic & ~back).sum())
-    marks = (telling >= odds) & (seen[1] >= max(least, share * (toxic & ~back).sum()))
-    y = (toxic[doc] & marks[x[:4]].any(0)).astype(float)
-    weights, sums, bias = np.zeros(WEIGHTS, np.float32), np.full(WEIGHTS, 1e-2, np.float32), -3.0
+    learnt = [~toxic & ~back, toxic & ~back]
+    seen = [_befores(rows, np.flatnonzero(own)) for own in learnt]
+    often = np.flatnonzero(seen[1] >= max(least, share * learnt[1].sum()))
+    telling = np.log((seen[1][often] + 0.5) / learnt[1].sum()) - np.log((seen[0][often] + 0.5) / learnt[0].sum())
+    marks = np.zeros(WEIGHTS, bool)
+    marks[often[telling >= odds]] = True
+    del seen
+    weights, sums, bias = np.zeros(WEIGHTS + 1, np.float32), np.full(WEIGHTS, 1e-2, np.float32), np.float64(-3.0)
     change, change_sums = np.zeros((2, 2)), np.full((2, 2), 1.0)
-    weights_bias = np.array([bias])
     order = np.random.default_rng(8).permutation(np.flatnonzero(~back))
     for _ in range(epochs):
         for part in np.array_split(order, max(1, len(order) // 100)):
             part = np.sort(part)
-            use = np.concatenate([np.arange(count[d], count[d + 1]) for d in part]) if len(part) else np.zeros(0, int)
-            if not len(use):
+            xs, fs, n = _described(*_encoded([rows[d] for d in part]))
+            if not len(fs):
                 continue
-            xs, ys, fs = x[:, use], y[use], first[use]
-            p, expected = marginals(weights[xs].sum(0) + weights_bias[0], fs, change, True)
+            ys = (np.repeat(toxic[part], n) & marks[xs[:4]].any(0)).astype(float)
+            p, expected = marginals(weights[xs].sum(0) + bias, fs, change, True)
             off = ys - p
             used, at = np.unique(xs, return_inverse=True)
             step = np.bincount(at.ravel(), np.broadcast_to(off, xs.shape).ravel()) - decay * weights[used] * len(part)
             sums[used] += step * step
             weights[used] += rate * step / np.sqrt(sums[used])
-            weights_bias[0] += 0.1 * np.sign(off.sum()) * min(1.0, abs(off.sum()) / max(1.0, ys.sum()))
+            bias += 0.1 * np.sign(off.sum()) * min(1.0, abs(off.sum()) / max(1.0, ys.sum()))
             inner = np.flatnonzero(~fs)
             real = np.zeros((2, 2))
             np.add.at(real, (ys[inner - 1].astype(int), ys[inner].astype(int)), 1)
             turn = real - expected
             change_sums += turn * turn
             change += 0.2 * turn / np.sqrt(change_sums)
-    field = Field(np.r_[weights, weights_bias[0]].astype(np.float32), change, 1.0, 0.0)
-    top = _logit(peaks(marginals(field.weights[x].sum(0) + field.weights[-1], first, change)[0], count))
+    weights[-1] = bias
+    field = Field(weights, change, 1.0, 0.0)
     held = back if (toxic & back).any() and (~toxic & back).any() else np.ones(len(rows), bool)
-    top, toxic = top[held], toxic[held]
+    top = []
+    for part in np.array_split(np.flatnonzero(held), max(1, held.sum() // 64)):
+        x, first, n = _described(*_encoded([rows[d] for d in part]))
+        top.append(peaks(marginals(weights[x].sum(0) + weights[-1], first, change)[0], np.r_[0, np.cumsum(n)]))
+    top, toxic = _logit(np.concatenate(top)), toxic[held]
     # logistic regression of the label on the largest marginal's log-odds, over the texts kept back
     slope, shift, t = 1.0, 0.0, toxic.astype(float)
     weigh = np.where(toxic, 0.5 / t.mean(), 0.5 / (1 - t).mean())

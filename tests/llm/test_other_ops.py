@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from fractions import Fraction
 
@@ -29,6 +30,16 @@ def test_toxicity_held_out_accuracy(spark):
     assert sum(toxic) >= 0.8 * len(toxic) and sum(p for t, p in held if not t) <= 0.03 * len(held)
 
 
+def test_toxicity_training_holds_texts_only():
+    rng = np.random.default_rng(1)
+    rows = [" ".join(f"w{k}" for k in rng.integers(4 * (d % 2), 3000, 600)) for d in range(1600)]
+    tracemalloc.start()
+    toxicity.fit(rows, np.arange(len(rows)) % 2 == 0, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6  # the weights and counts have a fixed size of 68 MB; the features of all tokens made it 276 MB
+
+
 def test_toxicity_edges(spark):
     r = random.Random(1)
     plain = lambda: " ".join("".join(r.choices("abcdef", k=5)) for _ in range(30))
