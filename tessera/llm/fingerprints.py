@@ -60,7 +60,8 @@ def let(name: str, value: str, body: str) -> str:
 
 def units(text: str) -> str:
     """The hashes of a text's units."""
-    return f"transform(regexp_extract_all({text}, '[{_SCRIPTS}]|[^\\\\s{_SCRIPTS}]{{1,{UNIT}}}', 0), u -> xxhash64(u))"
+    # printable ASCII, which the second class holds too, is tried first: most characters then take one comparison
+    return f"transform(regexp_extract_all({text}, '[!-~[^\\\\s{_SCRIPTS}]]{{1,{UNIT}}}|[{_SCRIPTS}]', 0), u -> xxhash64(u))"
 
 
 def starts(places: str, level: str) -> str:
@@ -75,7 +76,7 @@ def all_starts(level: str) -> str:
 
 def paragraphs(begin: str) -> str:
     """The distinct digests of the paragraphs of h that begin at places."""
-    return f"array_distinct(transform({begin}, (s, j) -> xxhash64(transform(sequence(s, coalesce(get({begin}, j + 1), size(h)) - 1), i -> get(h, i))) & {_LOW}L))"
+    return f"array_distinct(transform({begin}, (s, j) -> xxhash64(slice(h, s + 1, coalesce(get({begin}, j + 1), size(h)) - s)) & {_LOW}L))"
 
 
 def certified(key: str, z: str) -> str:
@@ -113,22 +114,23 @@ def empty(cells: str) -> str:
     return f"array_repeat(named_struct('n', 0, 'k', 0L), CAST(3 * {cells} AS INT))"
 
 
+def counted(lists: str) -> str:
+    """Cells from the lists of the digests that fall in each."""
+    return f"transform({lists}, hits -> IF(size(hits) = 0, named_struct('n', 0, 'k', 0L), named_struct('n', size(hits), 'k', aggregate(hits, 0L, (x, d) -> x ^ d))))"
+
+
 def sketch(keys: str, cells: str) -> str:
     """Three tables of cells: how many digests fall in each, and their XOR."""
     spot = f"named_struct('mask', shiftleft({cells} - 1L, 16 * table), 'want', shiftleft(c, 16 * table))"
     spots = f"flatten(transform(sequence(0, 2), table -> transform(sequence(0L, {cells} - 1L), c -> {spot})))"
-    cell = let("hits", f"filter({keys}, d -> (d & spot.mask) = spot.want)", "named_struct('n', size(hits), 'k', aggregate(hits, 0L, (x, d) -> x ^ d))")
-    return f"transform({spots}, spot -> {cell})"
+    return counted(f"transform({spots}, spot -> filter({keys}, d -> (d & spot.mask) = spot.want))")
 
 
 def first_sketch(keys: str) -> str:
-    """The same for CELLS cells, carried through the digests as a whole; a single digest is put in its places."""
-    zero = ", ".join(f"'n{c}', 0, 'k{c}', 0L" for c in range(CELLS))
-    add = ", ".join(f"'n{c}', IF(x = {c}L, s.n{c} + 1, s.n{c}), 'k{c}', IF(x = {c}L, s.k{c} ^ d, s.k{c})" for c in range(CELLS))
-    whole = ", ".join(f"named_struct('n', s.n{c}, 'k', s.k{c})" for c in range(CELLS))
-    step = let("x", f"shiftrightunsigned(d, 16 * table) & {CELLS - 1}L", f"named_struct({add})")
-    many = f"flatten(transform(sequence(0, 2), table -> aggregate({keys}, named_struct({zero}), (s, d) -> {step}, s -> array({whole}))))"
+    """The same for CELLS cells; a single digest is put in its places."""
     void = "named_struct('n', 0, 'k', 0L)"
+    hits = lambda t: f"transform(array({', '.join(f'{c << 16 * t}L' for c in range(CELLS))}), want -> filter({keys}, d -> (d & {CELLS - 1 << 16 * t}L) = want))"
+    many = counted(f"flatten(array({', '.join(map(hits, range(3)))}))")
     one = f"flatten(transform(sequence(0, 2), table -> {let('x', f'shiftrightunsigned(get({keys}, 0), 16 * table) & {CELLS - 1}L', f"array({', '.join(f'IF(x = {c}L, own, {void})' for c in range(CELLS))})")}))"
     return f"IF(size({keys}) = 1, {let('own', f"named_struct('n', 1, 'k', get({keys}, 0))", one)}, {many})"
 
@@ -149,12 +151,16 @@ def peel(cells_of: str, cells: str) -> str:
     in ROUNDS rounds (each takes all digests that cells give away); else a larger sketch does."""
     own = " OR ".join(f"i = {place('c.k', table, cells)}" for table in range(3))
     sure = f"abs(c.n) = 1 AND (shiftrightunsigned(c.k, 48) = (xxhash64(c.k & {_LOW}L) & 65535L)) AND ({own})"
-    single = f"array_distinct(filter(s.cells, (c, i) -> {sure}))"
-    places = ", ".join(place("p.k", table, cells) for table in range(3))
-    less = let("at", f"array({places})", "transform(cs, (c, i) -> IF(array_contains(at, i), named_struct('n', c.n - p.n, 'k', c.k ^ p.k), c))")
-    step = let("one", single, f"IF(size(one) = 0, named_struct('cells', s.cells, 'found', s.found, 'live', false), named_struct('cells', aggregate(one, s.cells, (cs, p) -> {less}), 'found', concat(s.found, one), 'live', true))")
-    begin = f"named_struct('cells', {cells_of}, 'found', CAST(array() AS array<struct<n: int, k: bigint>>), 'live', true)"
-    return f"aggregate(sequence(1, {ROUNDS}), {begin}, (s, r) -> IF(s.live, {step}, s), s -> named_struct('found', s.found, 'all', forall(s.cells, c -> c.n = 0 AND c.k = 0L)))"
+    places = ", ".join(place("c.k", table, cells) for table in range(3))
+    single = f"transform(array_distinct(filter(s.cells, (c, i) -> {sure})), c -> named_struct('n', c.n, 'k', c.k, 'at', array({places})))"
+    less = "transform(cs, (c, i) -> IF(array_contains(p.at, i), named_struct('n', c.n - p.n, 'k', c.k ^ p.k), c))"
+    # a round is two steps, one that finds digests and one that takes them out: a let in between would copy the cells
+    find = f"named_struct('cells', s.cells, 'found', s.found, 'one', {single}, 'live', true)"
+    take = f"named_struct('cells', aggregate(s.one, s.cells, (cs, p) -> {less}), 'found', concat(s.found, s.one), 'one', s.one, 'live', size(s.one) > 0)"
+    none = "CAST(array() AS array<struct<n: int, k: bigint, at: array<int>>>)"
+    begin = f"named_struct('cells', {cells_of}, 'found', {none}, 'one', {none}, 'live', true)"
+    done = "named_struct('found', transform(s.found, p -> named_struct('n', p.n, 'k', p.k)), 'all', forall(s.cells, c -> c.n = 0 AND c.k = 0L))"
+    return f"aggregate(sequence(1, {2 * ROUNDS}), {begin}, (s, r) -> IF(NOT s.live, s, IF(r % 2 = 1, {find}, {take})), s -> {done})"
 
 
 def peeled(u: str, v: str, published: str | None = None) -> str:
@@ -186,7 +192,7 @@ def common(a: str, b: str) -> str:
 def difference(a: str, b: str, cells_a: str, cells_b: str) -> str:
     """The digests that only one of two fingerprints holds at the lowest level of both: their published sketches peeled, then
     larger ones where these fail."""
-    cells = lambda side, at: let("e", f"get({side}, {at} + part)", f"IF(size(e) > 0, e, {empty(f'{CELLS}L')})")
+    cells = lambda side, at: f"IF(size(get({side}, {at} + part)) > 0, get({side}, {at} + part), {empty(f'{CELLS}L')})"
     held = lambda side, at: f"coalesce(get({side}.keyed, {at} + part), CAST(array() AS array<bigint>))"
     found = let("u", held(a, "ia"), let("v", held(b, "ib"), peeled("u", "v", subtract("p", "q"))))
     found = let("p", cells(cells_a, "ia"), let("q", cells(cells_b, "ib"), f"IF(p = q, CAST(array() AS array<struct<n: int, k: bigint>>), {found})"))

@@ -616,3 +616,18 @@ def test_operators_on_rows_without_id_and_repeated_rows(spark):
     assert ids(packing.pack(rows, BPE)) == ids(token_output.read_pieces(spark, token_output.write(rows, BPE))) == [1, 1, 2, 3]
     for out in (sentencepiece_codec.encode(rows, PIECES), sentencepiece_codec.digests(rows, PIECES), licenses.scan(rows), fingerprints.fingerprint(rows), fingerprints.edited_and_next(rows)):
         assert ids(out) == [1, 1, 2, 3]
+
+
+def test_fingerprints_evaluate_no_lambda_per_unit_and_table(spark):
+    # interpreted lambdas are what op6 pays for: none for the units of a paragraph, no wide struct for each digest and table
+    assert "get(h, i)" not in fingerprints.paragraphs("b") and "slice(h" in fingerprints.paragraphs("b")
+    assert "s.k0" not in fingerprints.first_sketch("w") and "element_at" not in fingerprints.sketch("w", "8L")
+    # units by the class without its shortcut for ASCII
+    scripts = fingerprints._SCRIPTS
+    plain = f"transform(regexp_extract_all(text, '[{scripts}]|[^\\\\s{scripts}]{{1,{fingerprints.UNIT}}}', 0), u -> xxhash64(u))"
+    texts = ["plain words and extraordinary ones", "caf\u00e9 na\u00efve~!\u00a0x\u2003y\x00z\x1c\x7f", "\u6f22\u5b57ab\u3042\u0e01 \U00020001\U0001f600tail", "", " \t\n", "[]^\\\\-~!"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert all(r[0] == r[1] for r in rows.selectExpr(plain, fingerprints.units("text")).collect())
+    # a sketch by either rule, with and without single digests
+    keys = spark.createDataFrame([([k * 0x9E3779B97F4A7C1 % 2**63 for k in range(1, n + 1)],) for n in (1, 2, 9, 40)], "w array<bigint>")
+    assert all(r[0] == r[1] and sum(c["n"] for c in r[0]) == 3 * r[2] for r in keys.selectExpr(fingerprints.first_sketch("w"), fingerprints.sketch("w", "8L"), "size(w)").collect())
