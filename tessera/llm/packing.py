@@ -2,8 +2,8 @@
 
 A document longer than a sequence fills whole sequences and leaves one rest. The histogram of piece lengths (at most as
 many bins as a sequence has tokens) is a cutting-stock problem: a linear program over patterns (multisets of lengths that
-fit a sequence), solved by a revised simplex whose columns are priced by a knapsack dynamic program, until a bound shows
-it within GAP of its best value, or for ROUNDS rounds (then the gap reached is logged). Its pattern counts are rounded
+fit a sequence), solved by a revised simplex whose columns are priced by a knapsack dynamic program, until the best
+bound met shows it within GAP of its best value, or for ROUNDS rounds (then the gap reached is logged). Its pattern counts are rounded
 down, patterns are repeated while the rest can fill them, and what is left is packed longest first.
 Pieces are ranked within their length; each rank belongs to one slot of the plan, so the assignment is arithmetic on a
 plan of bounded size, whatever the corpus. Only the histogram reaches the driver.
@@ -138,10 +138,12 @@ def solve(lengths: np.ndarray, demand: np.ndarray, size: int, gap: float = GAP,
     times = lambda column: np.einsum("ij,j->i", inverse, column)
     basis, demand = list(whole.T.astype(float)), demand.astype(float)
     x = np.maximum(times(demand), 0)
+    bound = float((lengths * demand).sum() / size)  # no plan needs less than its pieces' length
     for _ in range(rounds):
         price = np.maximum(inverse.sum(0), 0)
         best, last = knapsack(price, lengths, size)
-        if best[size] <= 1 + 1e-9 or 1 - 1 / best[size] < gap:  # value / best[size] bounds the best value from below
+        bound = max(bound, float((price * demand).sum() / best[size]))  # prices that no pattern exceeds; the best bound met counts
+        if best[size] <= 1 + 1e-9 or bound > (1 - gap) * x.sum():
             break
         offers = price + best[size - lengths]  # the best pattern that holds each length
         entered = 0
@@ -169,7 +171,7 @@ def solve(lengths: np.ndarray, demand: np.ndarray, size: int, gap: float = GAP,
         if not entered:
             break
     else:
-        logging.getLogger(__name__).warning("column generation ended within %.2g of its bound after %d rounds", 1 - 1 / best[size], rounds)
+        logging.getLogger(__name__).warning("column generation ended within %.2g of its bound after %d rounds", 1 - bound / x.sum(), rounds)
     return [(basis[i].astype(np.int64), float(x[i])) for i in range(m) if x[i] > 1e-9]
 
 

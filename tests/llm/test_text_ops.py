@@ -631,3 +631,11 @@ def test_fingerprints_evaluate_no_lambda_per_unit_and_table(spark):
     # a sketch by either rule, with and without single digests
     keys = spark.createDataFrame([([k * 0x9E3779B97F4A7C1 % 2**63 for k in range(1, n + 1)],) for n in (1, 2, 9, 40)], "w array<bigint>")
     assert all(r[0] == r[1] and sum(c["n"] for c in r[0]) == 3 * r[2] for r in keys.selectExpr(fingerprints.first_sketch("w"), fingerprints.sketch("w", "8L"), "size(w)").collect())
+
+
+def test_column_generation_ends_by_its_gap(caplog):
+    # many lengths: prices take long to give a bound, while the pieces' length is one at once
+    r = np.random.default_rng(5)
+    lengths, demand = np.unique((1 + 1022 * r.random(6000) ** 2).astype(int), return_counts=True)
+    value = sum(x for _, x in packing.solve(lengths, demand, 1024))
+    assert not caplog.records and value <= (lengths * demand).sum() / 1024 / (1 - packing.GAP)
