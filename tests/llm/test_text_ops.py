@@ -415,6 +415,43 @@ def test_sentencepiece_oddities(text):
     assert next(c.encode([text])) == (np.array(ids, "<u4").tobytes(), c.library.decode(ids))
 
 
+def test_sentencepiece_works_once_for_a_word(monkeypatch):
+    """A word before several signs is merged and held against the library once, with other new words in one text."""
+    c = sentencepiece_codec.Codec(PIECES)
+    r, asked = random.Random(16), []
+
+    class Library:
+        def encode(self, texts, **options):
+            asked.extend([texts] if isinstance(texts, str) else texts)
+            return library.encode(texts, **options)
+
+    library = c.library
+    monkeypatch.setattr(c, "library", Library())
+    words = list({"".join(r.choices("etaoinshr", k=9)) for _ in range(400)})
+    texts = [f"{' '.join(w + sign for w in words)}\n{' '.join(words)}" for sign in (".", ",", "!", "?", ";", ")", ":", '"')]
+    for text, got in zip(texts, c.encode(texts), strict=True):
+        ids = library.encode(text, add_bos=True, add_eos=True)
+        assert got == (np.array(ids, "<u4").tobytes(), library.decode(ids))
+    assert len(asked) < 100 and 4000 < sum(map(len, asked)) < 6000
+    # a wrong chunk is found and named, wherever it stands in its text
+    encoded = c.encoded
+    monkeypatch.setattr(c, "encoded", lambda part: encoded("▁other" if part == "▁wrongly" else part))
+    with pytest.raises(ValueError, match="wrongly"):
+        next(c.encode(["".join(f" {w}x" for w in words[:50]) + " wrongly" + "".join(f" {w}y" for w in words[:50])]))
+
+
+def test_sentencepiece_cuts_and_decodes_in_steps(monkeypatch):
+    c = sentencepiece_codec.Codec(PIECES)
+    monkeypatch.setattr(sentencepiece_codec, "STEP", 7)
+    texts = ["", "m². ² ½a 2.²x", "one,two;3.5e_7 (é)  ,b \t \n ", "", "日本語。あ1 ไท้า\u0301x", "🦀's\n\n²", " "]
+    for text, got in zip(texts, c.encode(texts), strict=True):
+        ids = c.library.encode(text, add_bos=True, add_eos=True)
+        assert got == (np.array(ids, "<u4").tobytes(), c.library.decode(ids))
+    cut = sentencepiece_codec._runs(["ab", " b", "n't", "'t", " ("]).findall
+    assert cut(" ban't, (ab)  c3.\n") == [" ba", "n't,", " (", "ab", ")", "  c", "3.", "\n"]
+    assert sentencepiece_codec._runs(["ab", "2a", "bc", "c."]).findall("xabc.d 2a") == ["x", "abc.", "d", " 2a"]
+
+
 def spark_hash(values):
     """Spark's 64-bit hash of a text, a number, or a list of numbers."""
     import xxhash
